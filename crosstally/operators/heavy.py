@@ -1,0 +1,74 @@
+"""Joins that stay balanced when a few keys hold much of the data.
+
+A key is *heavy* when it holds more than ``HEAVY_SHARE`` of all rows, so there are at most
+``1 / HEAVY_SHARE`` heavy keys whatever the size of the data: that bound is what makes it safe
+to broadcast them. Rows of heavy keys are dealt out over ``salts`` sub-keys, and the matching
+lookup rows are repeated once per sub-key; all other rows join as usual. The answer does not
+depend on which keys are called heavy.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from crosstally.functions.types import quoted
+
+HEAVY_SHARE = 0.001
+SALTS = 64
+
+_HASH, _SALT, _HEAVY, _ITEM = "__key_hash", "__salt", "__heavy", "__heavy_hash"
+
+
+def heavy_key_hashes(rows: DataFrame, on: Sequence[str], share: float = HEAVY_SHARE) -> DataFrame:
+    """Hashes of the heavy keys, at most ``1 / share`` rows.
+
+    One pass over the key columns; every task sends a fixed-size sketch, keys are not shuffled.
+    A key missed or reported wrongly only moves work, never results.
+    """
+    most = int(1 / share)
+    hashed = rows.select(F.xxhash64(*[quoted(c) for c in on]).alias(_HASH))
+    sketch = hashed.agg(
+        F.expr(f"approx_top_k({_HASH}, {most}, {16 * most})").alias("top"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    top = sketch.select("n", F.inline("top").alias("item", "item_count"))
+    return top.where(F.col("item_count") > F.col("n") * share).select(F.col("item").alias(_ITEM))
+
+
+def _flag_heavy(df: DataFrame, on: Sequence[str], heavy: DataFrame) -> DataFrame:
+    hashed = df.withColumn(_HASH, F.xxhash64(*[quoted(c) for c in on]))
+    flagged = hashed.join(F.broadcast(heavy), F.col(_HASH) == F.col(_ITEM), "left")
+    return flagged.withColumn(_HEAVY, F.col(_ITEM).isNotNull()).drop(_ITEM, _HASH)
+
+
+def balanced_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    how: str,
+    salts: int = SALTS,
+    heavy: DataFrame | None = None,
+) -> DataFrame:
+    """Join raw ``rows`` to ``lookup``, which has one row per key.
+
+    ``how`` is inner, left, left_semi or left_anti; key columns carry the same names and types
+    on both sides. ``salts=0`` gives Spark's plain join.
+    """
+    if salts <= 0:
+        return rows.join(lookup, list(on), how)
+    heavy = heavy if heavy is not None else heavy_key_hashes(rows, on)
+    # The partition number is stable when a lost task is run again, and it also spreads
+    # identical rows, which a hash of the row would not.
+    left = _flag_heavy(rows, on, heavy)
+    left = left.withColumn(
+        _SALT, F.when(F.col(_HEAVY), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(0)
+    ).drop(_HEAVY)
+    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
+    right = _flag_heavy(lookup, on, heavy)
+    right = right.withColumn(
+        _SALT, F.explode(F.when(F.col(_HEAVY), every_salt).otherwise(F.array(F.lit(0))))
+    ).drop(_HEAVY)
+    return left.join(right, [*on, _SALT], how).drop(_SALT)
