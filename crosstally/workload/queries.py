@@ -489,8 +489,8 @@ def profile_table(spark, sf_dir):
 
 @query
 def constant_columns(spark, sf_dir):
-    embeddings = table(spark, sf_dir, "labels").withColumn("batch", F.lit("labels"))
-    found = profile.constant_columns(profile.profile_columns(embeddings, "labels"))
+    labels = table(spark, sf_dir, "labels").withColumn("batch", F.lit("labels"))
+    found = profile.constant_columns(profile.profile_columns(labels, "labels"))
     return found.select("dataset", "column", "unique_count")
 
 
@@ -556,7 +556,8 @@ def baseline_with_inferred_key(spark, sf_dir):
 def evidence_dedup(spark, sf_dir):
     first = _baseline(spark, sf_dir).drop("evidence_id")
     again = first.withColumn("attempt", F.lit(1))
-    return _evidence_report(ev.ledger(first, again)).withColumn("attempt", F.lit(0))
+    kept = ev.ledger(first, again)
+    return _evidence_report(kept).withColumn("attempt", kept["attempt"])
 
 
 @query
@@ -636,7 +637,8 @@ def inject_truth(spark, sf_dir):
 
 @query
 def score_checks(spark, sf_dir):
-    return cases.scored_checks(spark, sf_dir, cases.DETERMINISTIC)
+    scored = cases.scored_checks(spark, sf_dir, cases.DETERMINISTIC)
+    return scored.withColumn("expected", F.col("expected").try_cast("double"))
 
 
 @query
