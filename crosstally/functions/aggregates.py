@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +81,11 @@ def aggregate_column(
     return total(value) if name == "sum" else average(value)
 
 
+def named(columns: Mapping[str, Column]) -> list[Column]:
+    """Report columns under their names."""
+    return [column.alias(name) for name, column in columns.items()]
+
+
 def merge_single_rows(*frames: DataFrame) -> DataFrame:
     """Put one-row frames with different columns side by side, without a join."""
     stacked = functools.reduce(

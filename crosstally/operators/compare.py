@@ -18,6 +18,7 @@ from crosstally.functions.aggregates import (
     aggregate_column,
     count_where,
     exact,
+    named,
     require_aggregation,
     rows_from,
     share_percent,
@@ -36,18 +37,18 @@ from crosstally.functions.types import (
 from crosstally.operators.matching import PREVIEW_ROWS
 
 
-def aggregate_difference(aggregation: str, a: Column, b: Column) -> list[Column]:
-    """The reported columns of an aggregate comparison, given both results."""
+def aggregate_report(aggregation: str, a: Column, b: Column) -> dict[str, Column]:
+    """The reported figures of an aggregate comparison, given both results."""
     signed = F.round(a.cast("double") - b.cast("double"), 6)
     percentage = F.when(b.cast("double") != 0, signed / F.abs(F.nullif(b.cast("double"), F.lit(0.0))) * 100)
-    return [
-        F.lit(aggregation).alias("aggregation"),
-        a.alias("dataset_a_result"),
-        b.alias("dataset_b_result"),
-        F.round(F.abs(signed), 6).alias("absolute_difference"),
-        signed.alias("signed_difference_a_minus_b"),
-        F.round(percentage, 6).alias("percentage_difference_vs_b"),
-    ]
+    return {
+        "aggregation": F.lit(aggregation),
+        "dataset_a_result": a,
+        "dataset_b_result": b,
+        "absolute_difference": F.round(F.abs(signed), 6),
+        "signed_difference_a_minus_b": signed,
+        "percentage_difference_vs_b": F.round(percentage, 6),
+    }
 
 
 def compare_aggregates(
@@ -64,7 +65,7 @@ def compare_aggregates(
         b.agg(aggregate_column(b, metric_b, name, scale).alias("b")), allowMissingColumns=True
     )
     both = sides.agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    return both.select(*aggregate_difference(name, F.col("a"), F.col("b")))
+    return both.select(*named(aggregate_report(name, F.col("a"), F.col("b"))))
 
 
 def _one(value: Column, data_type: T.DataType) -> Column:
@@ -81,10 +82,10 @@ def align_by_key(
     pairs: Sequence[tuple[str, str]],
     keep_null_keys: bool = False,
 ) -> DataFrame:
-    """``key, rows_a, rows_b, a0, b0, a1, b1, ...``: one row per key of either table.
+    """``key, rows_a, rows_b, is_pair, a0, b0, a1, b1, ...``: one row per key of either table.
 
     ``a<i>``/``b<i>`` hold the values of the i-th column pair and are meaningful where
-    ``rows_a``/``rows_b`` is 1.
+    ``rows_a``/``rows_b`` is 1; ``is_pair`` tells that the key is unique on both sides.
     """
     key_type = require_key_pair(a, b, key_a, key_b)
     if not keep_null_keys:
@@ -103,14 +104,11 @@ def align_by_key(
         for i in range(len(pairs))
         for name in (f"a{i}", f"b{i}")
     ]
-    return tagged.groupBy("key").agg(
+    aligned = tagged.groupBy("key").agg(
         F.sum("in_a").alias("rows_a"), F.sum("in_b").alias("rows_b"), *values
     )
-
-
-def is_pair() -> Column:
-    """The key is known and unique on both sides."""
-    return F.col("key").isNotNull() & (F.col("rows_a") == 1) & (F.col("rows_b") == 1)
+    once = F.col("key").isNotNull() & (F.col("rows_a") == 1) & (F.col("rows_b") == 1)
+    return aligned.withColumn("is_pair", once)
 
 
 def repeated_measures(prefix: str = "") -> list[Column]:
@@ -143,12 +141,12 @@ def value_measures(
 ) -> list[Column]:
     """Aggregates over :func:`align_by_key` that compare column pair ``index``."""
     x, y = F.col(f"a{index}"), F.col(f"b{index}")
-    differs = is_pair() & pair_differs(a, b, column_a, column_b, x, y, tolerance)
+    differs = F.col("is_pair") & pair_differs(a, b, column_a, column_b, x, y, tolerance)
     measures = [
-        count_where(is_pair()).alias(f"{prefix}matched_unique_key_count"),
+        count_where(F.col("is_pair")).alias(f"{prefix}matched_unique_key_count"),
         count_where(differs).alias(f"{prefix}value_mismatch_count"),
-        count_where(is_pair() & one_is_null(x, y)).alias(f"{prefix}null_value_mismatch_count"),
-        count_where(is_pair() & x.isNull() & y.isNull()).alias(f"{prefix}both_null_equal_count"),
+        count_where(F.col("is_pair") & one_is_null(x, y)).alias(f"{prefix}null_value_mismatch_count"),
+        count_where(F.col("is_pair") & x.isNull() & y.isNull()).alias(f"{prefix}both_null_equal_count"),
     ]
     if comparison_type(a, b, column_a, column_b) != "numeric":
         nothing = F.max(F.lit(None).cast("double"))
@@ -171,22 +169,22 @@ def value_measures(
     ]
 
 
-def value_columns(compared_as: str, prefix: str = "") -> list[Column]:
-    def m(name: str) -> Column:
-        return F.col(f"{prefix}{name}")
-
-    matched, mismatches = m("matched_unique_key_count"), m("value_mismatch_count")
-    return [
-        matched.alias("matched_unique_key_count"),
-        (matched - mismatches).alias("equal_value_count"),
-        mismatches.alias("value_mismatch_count"),
-        share_percent(mismatches, matched).alias("value_mismatch_percentage"),
-        m("null_value_mismatch_count").alias("null_value_mismatch_count"),
-        m("both_null_equal_count").alias("both_null_equal_count"),
-        m("signed_difference_a_minus_b").alias("signed_difference_a_minus_b"),
-        m("absolute_difference_sum").alias("absolute_difference_sum"),
-        F.lit(compared_as).alias("comparison_type"),
-    ]
+def value_report(compared_as: str, prefix: str = "") -> dict[str, Column]:
+    """The reported figures, read from :func:`value_measures` output."""
+    matched = F.col(f"{prefix}matched_unique_key_count")
+    mismatches = F.col(f"{prefix}value_mismatch_count")
+    measured = (
+        "null_value_mismatch_count", "both_null_equal_count", "signed_difference_a_minus_b",
+        "absolute_difference_sum",
+    )
+    return {
+        "matched_unique_key_count": matched,
+        "equal_value_count": matched - mismatches,
+        "value_mismatch_count": mismatches,
+        "value_mismatch_percentage": share_percent(mismatches, matched),
+        **{name: F.col(f"{prefix}{name}") for name in measured},
+        "comparison_type": F.lit(compared_as),
+    }
 
 
 def _checked_value_pair(
@@ -216,7 +214,7 @@ def compare_values(
         *value_measures(a, b, value_a, value_b, 0, tolerance, scale), *repeated_measures()
     )
     return measured.select(
-        *value_columns(compared_as), "duplicate_key_record_count_a", "duplicate_key_record_count_b"
+        *named(value_report(compared_as)), "duplicate_key_record_count_a", "duplicate_key_record_count_b"
     )
 
 
@@ -237,7 +235,7 @@ def value_mismatches(
         difference = F.round(x.cast("double") - y.cast("double"), 6)
     aligned = align_by_key(a, b, key_a, key_b, [(value_a, value_b)])
     differs = pair_differs(a, b, value_a, value_b, x, y, tolerance)
-    return aligned.where(is_pair() & differs).select(
+    return aligned.where(F.col("is_pair") & differs).select(
         "key",
         x.alias("dataset_a_value"),
         y.alias("dataset_b_value"),
@@ -274,7 +272,7 @@ def _differences(
     a: DataFrame, b: DataFrame, columns: Sequence[str], tolerance: float
 ) -> list[Column]:
     return [
-        is_pair() & pair_differs(a, b, c, c, F.col(f"a{i}"), F.col(f"b{i}"), tolerance)
+        F.col("is_pair") & pair_differs(a, b, c, c, F.col(f"a{i}"), F.col(f"b{i}"), tolerance)
         for i, c in enumerate(columns)
     ]
 
@@ -292,7 +290,7 @@ def row_measures(
     """Aggregates over :func:`align_by_key` with one column pair per compared column."""
     differs = _differences(a, b, columns, tolerance)
     return [
-        count_where(is_pair()).alias(f"{prefix}matched_unique_key_count"),
+        count_where(F.col("is_pair")).alias(f"{prefix}matched_unique_key_count"),
         count_where(any_of(differs)).alias(f"{prefix}record_mismatch_count"),
         *[count_where(d).alias(f"{prefix}mismatch_{i}") for i, d in enumerate(differs)],
     ]

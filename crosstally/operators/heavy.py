@@ -18,6 +18,7 @@ from crosstally.functions.types import quoted
 
 HEAVY_SHARE = 0.001
 SALTS = 64
+_SKETCH_LANES = 256
 
 _HASH, _SALT, _HEAVY, _ITEM = "__key_hash", "__salt", "__heavy", "__heavy_hash"
 
@@ -26,15 +27,24 @@ def heavy_key_hashes(rows: DataFrame, on: Sequence[str], share: float = HEAVY_SH
     """Hashes of the heavy keys, at most ``1 / share`` rows.
 
     One pass over the key columns; every task sends a fixed-size sketch, keys are not shuffled.
-    A key missed or reported wrongly only moves work, never results.
+    Sketches meet in lanes first, so that the last task merges a fixed number of them. A key
+    missed or reported wrongly only moves work, never results.
     """
     most = int(1 / share)
-    hashed = rows.select(F.xxhash64(*[quoted(c) for c in on]).alias(_HASH))
-    sketch = hashed.agg(
-        F.expr(f"approx_top_k({_HASH}, {most}, {16 * most})").alias("top"),
+    tracked = 4 * most
+    hashed = rows.select(
+        F.xxhash64(*[quoted(c) for c in on]).alias(_HASH),
+        F.pmod(F.spark_partition_id(), F.lit(_SKETCH_LANES)).alias("lane"),
+    )
+    lanes = hashed.groupBy("lane").agg(
+        F.expr(f"approx_top_k_accumulate({_HASH}, {tracked})").alias("sketch"),
         F.count(F.lit(1)).alias("n"),
     )
-    top = sketch.select("n", F.inline("top").alias("item", "item_count"))
+    whole = lanes.agg(
+        F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"), F.sum("n").alias("n")
+    )
+    found = F.expr(f"approx_top_k_estimate(sketch, {most})")
+    top = whole.select("n", F.inline(found).alias("item", "item_count"))
     return top.where(F.col("item_count") > F.col("n") * share).select(F.col("item").alias(_ITEM))
 
 

@@ -13,7 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosstally.errors import ReconcileInputError
-from crosstally.functions.aggregates import count_where, rows_from, share_percent, sum_where
+from crosstally.functions.aggregates import (
+    count_where,
+    named,
+    rows_from,
+    share_percent,
+    sum_where,
+)
 from crosstally.functions.columns import detail_columns
 from crosstally.functions.types import quoted, require_columns, require_key_pair
 from crosstally.operators.heavy import SALTS, balanced_join
@@ -51,29 +57,27 @@ def match_measures(own: str, other: str, prefix: str = "") -> list[Column]:
     ]
 
 
-def match_columns(prefix: str = "") -> list[Column]:
+def match_report(prefix: str = "") -> dict[str, Column]:
     """The reported match figures, read from :func:`match_measures` output."""
-    def measure(name: str) -> Column:
-        return F.col(f"{prefix}{name}")
-
-    return [
-        measure("eligible_record_count").alias("eligible_record_count"),
-        measure("matched_count").alias("matched_count"),
-        measure("unmatched_count").alias("unmatched_count"),
-        measure("unmatched_unique_key_count").alias("unmatched_unique_key_count"),
-        share_percent(measure("unmatched_count"), measure("eligible_record_count")).alias(
-            "unmatched_percentage"
+    counts = (
+        "eligible_record_count", "matched_count", "unmatched_count", "unmatched_unique_key_count",
+        "null_key_count",
+    )
+    report = {name: F.col(f"{prefix}{name}") for name in counts}
+    return {
+        **report,
+        "unmatched_percentage": share_percent(
+            report["unmatched_count"], report["eligible_record_count"]
         ),
-        measure("null_key_count").alias("null_key_count"),
-        (measure("unmatched_unique_key_count") <= PREVIEW_ROWS).alias("sample_is_complete"),
-        F.lit(PREVIEW_ROWS).alias("sample_limit"),
-    ]
+        "sample_is_complete": report["unmatched_unique_key_count"] <= PREVIEW_ROWS,
+        "sample_limit": F.lit(PREVIEW_ROWS),
+    }
 
 
 def unmatched_summary(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
     """One row: how many rows and keys of ``a`` have no counterpart in ``b``."""
     measured = key_counts(a, b, key_a, key_b).agg(*match_measures("rows_a", "rows_b"))
-    return measured.select(*match_columns())
+    return measured.select(*named(match_report()))
 
 
 def unmatched_both_ways(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
@@ -83,8 +87,8 @@ def unmatched_both_ways(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> D
     )
     return rows_from(
         measured,
-        [F.lit("a_without_b").alias("direction"), *match_columns("a_")],
-        [F.lit("b_without_a").alias("direction"), *match_columns("b_")],
+        [F.lit("a_without_b").alias("direction"), *named(match_report("a_"))],
+        [F.lit("b_without_a").alias("direction"), *named(match_report("b_"))],
     )
 
 
@@ -131,7 +135,8 @@ def unmatched_preview(
         quoted(key_a).alias("__own_key"),
         F.struct(*[quoted(c) for c in wanted]).alias("__details"),
     )
-    shown = rows.join(F.broadcast(keys.select(F.col("key").alias("__key"))), "__key", "left_semi")
+    # Spark broadcasts the chosen keys by itself, as the limit bounds their number.
+    shown = rows.join(keys.select(F.col("key").alias("__key")), "__key", "left_semi")
     first = shown.groupBy("__own_key").agg(F.min("__details").alias("__details"))
     return first.select(
         F.col("__own_key").alias(key_a), *[F.col("__details")[c].alias(c) for c in wanted]

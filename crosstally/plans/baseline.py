@@ -21,16 +21,16 @@ from crosstally.functions.aggregates import rows_from, sum_where
 from crosstally.functions.columns import automatic_details, details_from_question, shared_columns
 from crosstally.functions.types import is_numeric, require_columns
 from crosstally.operators.compare import (
-    aggregate_difference,
+    aggregate_report,
     align_by_key,
     repeated_measures,
     row_measures,
-    value_columns,
     value_measures,
+    value_report,
 )
 from crosstally.operators.duplicates import find_duplicates
 from crosstally.operators.impact import business_impact
-from crosstally.operators.matching import match_columns, match_measures
+from crosstally.operators.matching import match_measures, match_report
 from crosstally.operators.profile import (
     amount_columns,
     dimension_columns,
@@ -69,12 +69,6 @@ def impact_columns(profile: DataFrame) -> ImpactColumns:
     return ImpactColumns(**{role: frame.first()[0] for role, frame in names.items()})
 
 
-def _named(columns: list[Column], frame: DataFrame) -> dict[str, Column]:
-    """Report columns by the name they would get in a select."""
-    names = frame.select(*columns).columns
-    return dict(zip(names, columns))
-
-
 def _key_checks(
     a: DataFrame, b: DataFrame, key: str, name_a: str, name_b: str, pair: str, scale: int | None,
     question: str,
@@ -107,7 +101,7 @@ def _key_checks(
             + [keep.alias("keep")]
         )
 
-    counts = _named(aggregate_difference("count", F.col("count_a"), F.col("count_b")), measured)
+    counts = aggregate_report("count", F.col("count_a"), F.col("count_b"))
     add(
         1, "compare_aggregates",
         {**pair_arguments, "metric_column_a": "", "metric_column_b": "", "aggregation": "count"},
@@ -118,7 +112,7 @@ def _key_checks(
     )
     for seq, first, second, df, prefix in ((2, name_a, name_b, a, "a_"), (3, name_b, name_a, b, "b_")):
         details = details_from_question(question, df.columns, key)
-        figures = _named(match_columns(prefix), measured)
+        figures = match_report(prefix)
         shown = details if details is not None else automatic_details(df.columns, key)
         add(
             seq, "find_unmatched_records",
@@ -152,7 +146,7 @@ def _key_checks(
     earlier: Column = F.lit(0)
     for i, column in numeric:
         differs = F.col(f"rows_mismatch_{i}") > 0
-        figures = {**_named(value_columns("numeric", f"v{i}_"), measured), **repeated}
+        figures = {**value_report("numeric", f"v{i}_"), **repeated}
         add(
             7 + i, "compare_record_values",
             {**key_arguments, "value_column_a": column, "value_column_b": column, "tolerance": 0.0},

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from crosstally.functions.text import call_signature, canonical_json
 from crosstally.operators.heavy import balanced_join
+from crosstally.operators.relationships import with_cardinality
 
 # The headline figure of each check.
 HEADLINES = {
@@ -90,14 +91,13 @@ def detail(name: str) -> Column:
 
 
 def relevant_evidence(
-    evidence: DataFrame, cardinalities: DataFrame | None = None, duplicates_asked: bool = False
+    evidence: DataFrame, related: DataFrame | None = None, duplicates_asked: bool = False
 ) -> DataFrame:
     """Drop evidence that says nothing about a discrepancy.
 
     Left out are repeated keys and zero-duplicate rows unless duplicates were asked for, row
     count comparisons of tables that are not one-to-one, and impact on a whole table when a
-    narrower issue is known for the pair. ``cardinalities`` has ``dataset_a, dataset_b,
-    cardinality``.
+    narrower issue is known for the pair. ``related`` is the output of ``relationships``.
     """
     narrow_tools = ("find_unmatched_records", "compare_record_values", "compare_rows_by_key")
     narrow = evidence.groupBy("pair").agg(
@@ -113,8 +113,8 @@ def relevant_evidence(
     drop = F.coalesce(whole_impact, F.lit(False)) & F.col("narrow")
     if not duplicates_asked:
         drop = drop | (duplicates & (repeated_key | (F.col("value") == 0)))
-    if cardinalities is not None:
-        rows = rows.join(cardinalities, ["dataset_a", "dataset_b"], "left")
+    if related is not None:
+        rows = with_cardinality(rows, related)
         uneven = F.col("cardinality").isNotNull() & (F.col("cardinality") != "one_to_one")
         drop = drop | (F.coalesce(is_count, F.lit(False)) & uneven)
     return rows.where(~drop).select(*evidence.columns)

@@ -42,7 +42,7 @@ def pick_rows(
 
 
 def inject_missing(df: DataFrame, picked: DataFrame, key: str) -> DataFrame:
-    """``df`` without the picked keys. The picked rows are few and chosen (see ``pick_rows``)."""
+    """``df`` without the picked keys; use ``drop_rows`` where a predicate says it all."""
     return df.join(picked.select(key), key, "left_anti").select(*df.columns)
 
 

@@ -533,9 +533,9 @@ def _baseline(spark, sf_dir, **options):
     )
 
 
-def _evidence_report(evidence: DataFrame) -> DataFrame:
+def _evidence_report(evidence: DataFrame, *more: str) -> DataFrame:
     return evidence.select(
-        "evidence_id", "tool", "dataset_a", "dataset_b", "metric", "value", "signature"
+        "evidence_id", "tool", "dataset_a", "dataset_b", "metric", "value", "signature", *more
     )
 
 
@@ -556,8 +556,7 @@ def baseline_with_inferred_key(spark, sf_dir):
 def evidence_dedup(spark, sf_dir):
     first = _baseline(spark, sf_dir).drop("evidence_id")
     again = first.withColumn("attempt", F.lit(1))
-    kept = ev.ledger(first, again)
-    return _evidence_report(kept).withColumn("attempt", kept["attempt"])
+    return _evidence_report(ev.ledger(first, again), "attempt")
 
 
 @query
@@ -567,9 +566,7 @@ def evidence_relevant(spark, sf_dir):
         profile.profile_columns(wh_mixed(spark, sf_dir), "warehouse", scale=MONEY),
     ])
     grain = related.relationships(profiles).where(F.col("local_column") == "order_id")
-    pairs = _baseline(spark, sf_dir).select("dataset_a", "dataset_b").distinct()
-    known = related.with_cardinality(pairs, grain)
-    return _evidence_report(ev.relevant_evidence(_baseline(spark, sf_dir), known))
+    return _evidence_report(ev.relevant_evidence(_baseline(spark, sf_dir), grain))
 
 
 @query
