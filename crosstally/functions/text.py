@@ -34,12 +34,16 @@ def redact(text: Column) -> Column:
     return F.trim(F.regexp_replace(masked, WHITESPACE, " "))
 
 
-def log_line(text: Column, limit: int = PREVIEW_LIMIT) -> Column:
-    """A redacted one-line rendering, shortened to ``limit`` characters for display."""
-    line = redact(text)
+def shorten(line: Column, limit: int = PREVIEW_LIMIT) -> Column:
+    """A line for display: ``limit`` characters and ``...`` when it is longer."""
     return F.when(F.length(line) > limit, F.concat(F.left(line, F.lit(limit)), F.lit("..."))).otherwise(line)
 
 
+def log_line(text: Column, limit: int = PREVIEW_LIMIT) -> Column:
+    """The redacted text (all of it is searched for secrets), shortened for display."""
+    return shorten(redact(text), limit)
+
+
 def canonical_json(arguments: dict[str, Any]) -> str:
     return json.dumps(arguments, sort_keys=True, default=str)
 

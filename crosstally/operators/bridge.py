@@ -71,12 +71,13 @@ def _key_figures(counts: DataFrame, scale: int | None) -> DataFrame:
     value = F.coalesce(exact(F.col("metric"), counts.schema["metric"].dataType, scale), F.lit(0))
     aggregates = []
     for own, other in (("a", "b"), ("b", "a")):
-        extra = _extra(f"count_{own}", f"count_{other}")
+        count, extra = F.col(f"count_{own}"), _extra(f"count_{own}", f"count_{other}")
+        # Exact products are costly, and most rows are on one side or have no extra copies.
         aggregates += [
-            F.sum(f"count_{own}").alias(f"rows_{own}"),
-            F.sum(value * F.col(f"count_{own}")).alias(f"sum_{own}"),
+            F.sum(count).alias(f"rows_{own}"),
+            sum_where(count > 0, value * count).alias(f"sum_{own}"),
             F.sum(extra).alias(f"extra_{own}"),
-            F.sum(value * extra).alias(f"extra_sum_{own}"),
+            sum_where(extra > 0, value * extra).alias(f"extra_sum_{own}"),
         ]
     return counts.groupBy("key").agg(*aggregates)
 

@@ -5,7 +5,7 @@ The tall column profile is a small table (one row per column), whatever the data
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +23,7 @@ from crosstally.functions.columns import (
     contains_any_column,
     first_word_position,
     id_name_column,
+    is_id_name,
 )
 from crosstally.functions.periods import as_timestamp
 from crosstally.functions.types import column_class, quoted, type_class
@@ -31,11 +32,37 @@ from crosstally.operators.duplicates import find_duplicates, groupable
 # Thresholds of the profile rules.
 IDENTIFIER_RATIO = 0.98
 DATE_RATIO = 0.8
+DISTINCT_MODES = ("exact", "auto", "approx")
+ESTIMATE_ERROR = 0.02
 LEAST_DIMENSION_VALUES = 2
 MOST_DIMENSION_VALUES = 100
 
 
-def _distinct_counts(df: DataFrame) -> DataFrame:
+def _estimated_counts(df: DataFrame) -> dict[int, int]:
+    """Distinct estimates of the columns whose exact count can decide nothing.
+
+    An exact count matters for id-like names, near-unique columns (identifier, unique key) and
+    small ones (dimension, constant); there is a wide margin around each threshold. One row
+    comes to the driver, with two numbers per column at most.
+    """
+    found = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[
+            F.approx_count_distinct(groupable(df, f.name), ESTIMATE_ERROR).alias(f"c{i}")
+            for i, f in enumerate(df.schema.fields)
+        ],
+    ).first()
+    margin = 10 * ESTIMATE_ERROR
+    return {
+        i: found[f"c{i}"]
+        for i, name in enumerate(df.columns)
+        if not is_id_name(name)
+        and found[f"c{i}"] > 2 * MOST_DIMENSION_VALUES
+        and found[f"c{i}"] < found["rows"] * IDENTIFIER_RATIO * (1 - margin)
+    }
+
+
+def _distinct_counts(df: DataFrame, skipped: Collection[int] = ()) -> DataFrame:
     """``position, distinct_values``: exact, nulls not counted.
 
     All columns are melted into (position, value) pairs with one typed slot per kind of value,
@@ -67,7 +94,10 @@ def _distinct_counts(df: DataFrame) -> DataFrame:
             ],
         )
 
-    melted = df.select(F.inline(F.array(*[pair(i, f) for i, f in enumerate(df.schema.fields)])))
+    melted = df.select(F.inline(
+            F.array(*[pair(i, f) for i, f in enumerate(df.schema.fields) if i not in skipped])
+        )
+    )
     known = reduce(lambda x, y: x | y, [F.col(s).isNotNull() for s in slots])
     return melted.where(known).distinct().groupBy("position").agg(
         F.count(F.lit(1)).alias("distinct_values")
@@ -92,11 +122,14 @@ def profile_columns(
 ) -> DataFrame:
     """One row per column: type, null and distinct counts, numeric summary and role flags.
 
-    ``distinct="approx"`` estimates distinct counts in the same single pass, without a shuffle
-    of values; near the identifier and uniqueness thresholds the flags may then be off.
+    ``distinct="auto"`` is exact wherever a count decides a role and estimates the rest, which
+    spares the shuffle of mid-sized value sets for a first pass of its own. ``"approx"``
+    estimates everything in a single pass; near the thresholds flags may then be off.
     """
-    if distinct not in ("exact", "approx"):
-        raise ReconcileInputError("distinct must be 'exact' or 'approx'")
+    if distinct not in DISTINCT_MODES:
+        raise ReconcileInputError(f"distinct must be one of {', '.join(DISTINCT_MODES)}")
+    estimates = _estimated_counts(df) if distinct == "auto" else {}
+    exact_needed = distinct != "approx" and len(estimates) < len(df.columns)
     aggregates = [F.count(F.lit(1)).alias("row_count")]
     for i, field in enumerate(df.schema.fields):
         value = quoted(field.name)
@@ -129,16 +162,19 @@ def profile_columns(
             F.lit(field.dataType.simpleString()).alias("data_type"),
             F.col("row_count"),
             F.col(f"nulls_{i}").alias("null_count"),
-            (F.col(f"distinct_{i}") if distinct == "approx" else F.lit(0).cast("long")).alias("unique_count"),
+            (
+                F.col(f"distinct_{i}") if distinct == "approx"
+                else F.lit(estimates.get(i, 0)).cast("long")
+            ).alias("unique_count"),
             *[figure(n) for n in ("min", "max", "mean", "sum")],
             F.lit(numeric).alias("is_numeric"),
             F.col(f"date_{i}").alias("is_date"),
         )
 
     tall = measured.select(F.inline(F.array(*[row(i, f) for i, f in enumerate(df.schema.fields)])))
-    if distinct == "exact":
-        tall = tall.drop("unique_count").join(_distinct_counts(df), "position", "left").withColumn(
-            "unique_count", F.coalesce("distinct_values", F.lit(0))
+    if exact_needed:
+        tall = tall.join(_distinct_counts(df, estimates), "position", "left").withColumn(
+            "unique_count", F.coalesce("distinct_values", "unique_count")
         )
     identifier = (F.col("row_count") > 0) & (
         id_name_column(F.col("column"))

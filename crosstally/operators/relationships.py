@@ -68,6 +68,15 @@ def choose_relationships(profiles: DataFrame, most: int = MOST_RELATIONSHIPS) ->
     return chosen.select("left_dataset", "right_dataset", F.col("score.key").alias("key"))
 
 
+def relationship_lines(related: DataFrame) -> DataFrame:
+    """``orders.id -> payments.id``, each line once, in order."""
+    line = F.format_string(
+        "%s.%s -> %s.%s", F.col("dataset"), F.col("local_column"), F.col("other_dataset"),
+        F.col("other_column"),
+    )
+    return related.select(line.alias("relationship")).distinct().orderBy("relationship")
+
+
 def reverse_cardinality(cardinality: Column) -> Column:
     """The same relationship seen from the other dataset; null when unknown."""
     reversed_names = F.create_map(*[F.lit(x) for kv in REVERSED_CARDINALITY.items() for x in kv])

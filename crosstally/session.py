@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str, app_name: str = "crosstally", shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(
+    master: str, app_name: str = "crosstally", shuffle_partitions: int | None = None,
+    memory: str = "8g",
+) -> SparkSession:
     """A session with adaptive execution on.
 
     On a cluster the submitter sets master, memory and ``spark.checkpoint.dir``.
@@ -13,6 +16,7 @@ def build_session(master: str, app_name: str = "crosstally", shuffle_partitions:
     builder = (
         SparkSession.builder.master(master)
         .appName(app_name)
+        .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

@@ -71,17 +71,20 @@ def read_csv(
     path: str,
     schema: T.StructType | None = None,
     null_markers: Sequence[str] = NULL_MARKERS,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with a header line.
+    """CSV with a header line; doubled quotes inside quoted values.
 
     Null markers become null before types are settled. Without ``schema`` every column is
     long, double, boolean or string; dates stay strings and are parsed on demand.
+    ``multi_line`` allows line breaks inside values, but then a file cannot be split.
     """
+    quoting = {"escape": '"', "multiLine": multi_line}
     name = os.path.basename(path.rstrip("/"))
     if not name.lower().endswith(".csv"):
         raise ReconcileInputError(f"only .csv input can be read here: {name}")
     try:
-        header = spark.read.option("header", False).csv(path).first()
+        header = spark.read.options(header=False, **quoting).csv(path).first()
     except AnalysisException as error:
         raise ReconcileInputError(f"cannot read {name}: {error.getCondition()}") from error
     names = [n for n in (header or []) if n is not None]
@@ -92,8 +95,8 @@ def read_csv(
         raise ReconcileInputError(f"{name} repeats column(s): {', '.join(repeated)}")
     text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     text = (
-        spark.read.option("header", True).option("enforceSchema", False)
-        .option("mode", "FAILFAST").schema(text_schema).csv(path)
+        spark.read.options(header=True, enforceSchema=False, mode="FAILFAST", **quoting)
+        .schema(text_schema).csv(path)
     )
     text = text.select(
         *[F.when(~quoted(c).isin(*null_markers), quoted(c)).alias(c) for c in names]

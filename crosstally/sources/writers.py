@@ -8,12 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Spark's default text formats drop microseconds.
+TIMESTAMP_FORMATS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header; quotes inside values are doubled."""
+    df.write.mode(mode).options(header=True, escape='"', **TIMESTAMP_FORMATS).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    """One JSON document per line, with null fields."""
+    df.write.mode(mode).options(ignoreNullFields=False, **TIMESTAMP_FORMATS).json(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -77,6 +77,13 @@ def percent(part: str, whole: str) -> str:
     return f"round(CASE WHEN {whole} = 0 THEN 0.0 ELSE CAST({part} AS DOUBLE) / {whole} * 100 END, 6)"
 
 
+# Sources and sinks ---------------------------------------------------------------------------
+
+ORACLE["csv_round_trip"] = over("""SELECT order_id, customer_id, CAST(order_date AS VARCHAR) AS order_date,
+    order_status, order_priority, total_amount FROM wh_nulls""")
+ORACLE["csv_with_schema"] = "SELECT * FROM events"
+ORACLE["json_round_trip"] = over("SELECT * FROM wh_nulls")
+
 # Filters -------------------------------------------------------------------------------------
 
 for name, condition in {
@@ -581,6 +588,13 @@ FROM profile l JOIN profile r ON l."column" = r."column" AND l.dataset <> r.data
 WHERE l.is_identifier AND r.is_identifier""",
     **PROFILE,
 )
+ORACLE["relationship_lines"] = over(
+    """SELECT DISTINCT l.dataset || '.' || l."column" || ' -> ' || r.dataset || '.' || r."column"
+    AS relationship
+FROM profile l JOIN profile r ON l."column" = r."column" AND l.dataset <> r.dataset
+WHERE l.is_identifier AND r.is_identifier""",
+    **PROFILE,
+)
 ORACLE["relationship_choice"] = over(
     """SELECT left_dataset, right_dataset, key FROM (
     SELECT *, row_number() OVER (PARTITION BY left_dataset, right_dataset

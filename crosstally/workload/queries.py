@@ -6,6 +6,7 @@ that another SQL engine can state the same result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from crosstally.functions.predicates import apply_filters
 from crosstally.functions.text import (
-    has_whole_words, log_line, normal_text, redact, signed_amount,
+    has_whole_words, normal_text, redact, shorten, signed_amount,
 )
 from crosstally.operators import bridge, compare, duplicates, impact, matching, profile
 from crosstally.operators import relationships as related
@@ -21,7 +22,9 @@ from crosstally.operators import segments
 from crosstally.plans import evidence as ev
 from crosstally.plans import injection, scoring
 from crosstally.plans.baseline import ImpactColumns, baseline_evidence, reconcile
+from crosstally.sources.readers import read_csv
 from crosstally.sources.registry import DatasetRegistry
+from crosstally.sources.writers import shared_folder, write_csv, write_json
 from crosstally.workload import cases
 from crosstally.workload.frames import (
     is_drifted, is_duplicated, is_missing, src, src_nulls, table, wh_drift, wh_dup, wh_missing,
@@ -44,6 +47,33 @@ def _round(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+# Sources and sinks ---------------------------------------------------------------------------
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/crosstally-{uuid.uuid4().hex}/{name}"
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    path = _folder(spark, "orders.csv")
+    write_csv(wh_nulls(spark, sf_dir), path)
+    return read_csv(spark, path)
+
+
+@query
+def csv_with_schema(spark, sf_dir):
+    events, path = table(spark, sf_dir, "events"), _folder(spark, "events.csv")
+    write_csv(events, path)
+    return read_csv(spark, path, events.schema)
+
+
+@query
+def json_round_trip(spark, sf_dir):
+    orders, path = wh_nulls(spark, sf_dir), _folder(spark, "orders.json")
+    write_json(orders, path)
+    return spark.read.schema(orders.schema).json(path)
+
+
 # Filters -------------------------------------------------------------------------------------
 
 def _filtered(spark: SparkSession, sf_dir: str, *conditions: dict) -> DataFrame:
@@ -516,6 +546,11 @@ def relationship_choice(spark, sf_dir):
     return related.choose_relationships(_profiles(spark, sf_dir))
 
 
+@query
+def relationship_lines(spark, sf_dir):
+    return related.relationship_lines(related.relationships(_profiles(spark, sf_dir)))
+
+
 @query
 def quality_review(spark, sf_dir):
     return profile.quality_review(profile_table(spark, sf_dir), _profiles(spark, sf_dir))
@@ -661,9 +696,8 @@ def score_terms(spark, sf_dir):
 @query
 def redact_text(spark, sf_dir):
     texts = table(spark, sf_dir, "documents")
-    return texts.select(
-        "doc_id", redact(F.col("text")).alias("redacted"), log_line(F.col("text")).alias("line")
-    )
+    redacted = texts.select("doc_id", redact(F.col("text")).alias("redacted"))
+    return redacted.withColumn("line", shorten(F.col("redacted")))
 
 
 @query

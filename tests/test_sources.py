@@ -84,3 +84,14 @@ def test_materialize_uses_the_shared_folder(spark, orders):
     kept = materialize(orders, "test")
     assert unordered(kept) == unordered(orders)
     assert spark.conf.get("spark.checkpoint.dir") in kept.inputFiles()[0]
+
+
+def test_csv_keeps_quotes_breaks_and_microseconds(spark, tmp_path, frame):
+    import datetime as dt
+
+    when = dt.datetime(2024, 1, 1, 10, 0, 0, 179575)
+    df = frame("t string, at timestamp_ntz", ('say "hi", now', when), ("two\nlines", None), ("back\\slash", when))
+    write_csv(df, str(tmp_path / "text.csv"))
+    write_json(df, str(tmp_path / "text.json"))
+    assert unordered(read_csv(spark, str(tmp_path / "text.csv"), df.schema, multi_line=True)) == unordered(df)
+    assert unordered(spark.read.schema(df.schema).json(str(tmp_path / "text.json"))) == unordered(df)
