@@ -35,20 +35,19 @@ class SegmentResult:
     summary: DataFrame
 
 
-def segment_groups(
+def _periods_and_segments(
     rows: DataFrame,
     group_by: str | None,
-    metric: str | None = None,
-    aggregation: str = "count",
-    date_column: str | None = None,
-    date_frequency: str = "D",
-    date_format: str | None = None,
-    scale: int | None = None,
+    metric: str | None,
+    aggregation: str,
+    date_column: str | None,
+    date_frequency: str,
+    date_format: str | None,
+    scale: int | None,
 ) -> DataFrame:
-    """``value`` and ``record_count`` per segment and/or period; rows without a date are left out.
+    """``value`` and ``record_count`` per segment and first day of a period (``__period``).
 
-    Periods are grouped by their first day and only the finished groups get a text label,
-    under the name of the date column.
+    Rows without a date form groups with a null period.
     """
     if not group_by and not date_column:
         raise ReconcileInputError("give group_by or date_column")
@@ -60,18 +59,45 @@ def segment_groups(
     if date_column:
         unit = frequency_unit(date_frequency)
         start = period_start(as_timestamp(rows, date_column, date_format), unit)
-        rows = rows.withColumn("__period", start).where(F.col("__period").isNotNull())
-        grouping.append(F.col("__period"))
-    groups = rows.groupBy(*grouping).agg(
+        grouping.append(start.alias("__period"))
+    return rows.groupBy(*grouping).agg(
         aggregate_column(rows, metric, aggregation, scale).alias("value"),
         F.count(F.lit(1)).alias("record_count"),
     )
+
+
+def _labelled(
+    groups: DataFrame, group_by: str | None, date_column: str | None, date_frequency: str
+) -> DataFrame:
+    """Groups with a period, labelled under the name of the date column."""
     columns = [quoted(group_by)] if group_by else []
     if date_column:
-        columns.append(period_label(F.col("__period"), unit).alias(date_column))
+        groups = groups.where(F.col("__period").isNotNull())
+        label = period_label(F.col("__period"), frequency_unit(date_frequency))
+        columns.append(label.alias(date_column))
     return groups.select(*columns, "value", "record_count")
 
 
+def segment_groups(
+    rows: DataFrame,
+    group_by: str | None,
+    metric: str | None = None,
+    aggregation: str = "count",
+    date_column: str | None = None,
+    date_frequency: str = "D",
+    date_format: str | None = None,
+    scale: int | None = None,
+) -> DataFrame:
+    """``value`` and ``record_count`` per segment and/or period; rows without a date are left out.
+
+    Periods are grouped by their first day; only finished groups get a text label.
+    """
+    groups = _periods_and_segments(
+        rows, group_by, metric, aggregation, date_column, date_frequency, date_format, scale
+    )
+    return _labelled(groups, group_by, date_column, date_frequency)
+
+
 def segment_analysis(
     dataset: DataFrame,
     group_by: str | None,
@@ -102,24 +128,26 @@ def segment_analysis(
         rows = restrict_to_unmatched(
             filtered.select(*[quoted(c) for c in needed]), match_against, local_key, other_key
         )
-    groups = segment_groups(
+    found = _periods_and_segments(
         rows, group_by, metric, aggregation, date_column, date_frequency, date_format, scale
     )
+    groups = _labelled(found, group_by, date_column, date_frequency)
     keys = [quoted(c) for c in groups.columns if c not in ("value", "record_count")]
     limit = min(max(int(top_n), 1), MOST_TOP)
     top = groups.orderBy(
         F.abs("value").desc_nulls_last(), *[k.asc_nulls_last() for k in keys]
     ).limit(limit)
-    summary = groups.agg(
-        sum_where(F.lit(True), F.col("record_count")).alias("filtered_record_count"),
-        F.count(F.lit(1)).alias("result_count"),
+    dated = F.col("__period").isNotNull() if date_column else F.lit(True)
+    summary = found.agg(
+        sum_where(dated, F.col("record_count")).alias("filtered_record_count"),
+        F.count_if(dated).alias("result_count"),
+        sum_where(F.lit(True), F.col("record_count")).alias("unmatched_records_analyzed"),
     ).withColumn("results_truncated", F.col("result_count") > limit)
     if only_unmatched:
-        summary = merge_single_rows(
-            summary,
-            filtered.agg(F.count(F.lit(1)).alias("records_before_matching_filter")),
-            rows.agg(F.count(F.lit(1)).alias("unmatched_records_analyzed")),
-        )
+        before = filtered.agg(F.count(F.lit(1)).alias("records_before_matching_filter"))
+        summary = merge_single_rows(summary, before)
+    else:
+        summary = summary.drop("unmatched_records_analyzed")
     return SegmentResult(groups, top, summary)
 
 

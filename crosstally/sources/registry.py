@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from crosstally.errors import ReconcileInputError
+from crosstally.sources.readers import read_csv, read_parquet
 
 
 class DatasetRegistry:
@@ -37,3 +39,18 @@ class DatasetRegistry:
 
     def items(self):
         return self._frames.items()
+
+
+def load_datasets(spark: SparkSession, paths: Sequence[str]) -> DatasetRegistry:
+    """CSV and Parquet inputs under their base names, which must differ."""
+    if not paths:
+        raise ReconcileInputError("give at least one dataset")
+    names = [os.path.basename(p.rstrip("/")) for p in paths]
+    repeated = sorted({n for n in names if names.count(n) > 1})
+    if repeated:
+        raise ReconcileInputError(f"dataset name used twice: {', '.join(repeated)}")
+    datasets = DatasetRegistry()
+    for name, path in zip(names, paths):
+        reader = read_parquet if name.lower().endswith(".parquet") else read_csv
+        datasets.add(name, reader(spark, path))
+    return datasets

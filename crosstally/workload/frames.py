@@ -7,6 +7,8 @@ and grows with the data.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ from crosstally.sources.readers import read_parquet
 DRIFT = 17.25
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. The plan is kept per session, so that files are listed only once."""
     return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 

@@ -13,7 +13,8 @@ from crosstally.operators.relationships import relationships
 from crosstally.plans import evidence as ev
 from crosstally.plans import injection, scoring
 from crosstally.plans.baseline import ImpactColumns, baseline_evidence, impact_columns, reconcile
-from crosstally.sources.registry import DatasetRegistry
+from crosstally.sources.registry import DatasetRegistry, load_datasets
+from crosstally.sources.writers import write_csv, write_parquet
 from crosstally.workload.frames import src
 
 
@@ -135,6 +136,18 @@ def test_nothing_to_reconcile(frame):
         reconcile(registry(a=frame("x long", (1,), (1,)), b=frame("y long", (1,), (1,))))
 
 
+def test_reconcile_files(spark, tmp_path, orders, payments):
+    write_csv(orders, str(tmp_path / "orders.csv"))
+    write_parquet(payments, str(tmp_path / "payments.parquet"))
+    paths = [str(tmp_path / n) for n in ("orders.csv", "payments.parquet")]
+    found = reconcile(load_datasets(spark, paths))
+    assert found.count() == 8
+    assert {r["dataset_a"] for r in found.collect()} == {"orders.csv", "payments.parquet"}
+    for bad in ([], [paths[0], paths[0]]):
+        with pytest.raises(ReconcileInputError):
+            load_datasets(spark, bad)
+
+
 # Evidence
 
 def entry(frame, *calls):
