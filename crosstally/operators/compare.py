@@ -28,7 +28,6 @@ from crosstally.functions.columns import shared_columns
 from crosstally.functions.predicates import one_is_null, values_differ
 from crosstally.functions.types import (
     column_class,
-    is_numeric,
     quoted,
     require_columns,
     require_key_pair,
@@ -121,8 +120,9 @@ def repeated_measures(prefix: str = "") -> list[Column]:
 
 
 def comparison_type(a: DataFrame, b: DataFrame, column_a: str, column_b: str) -> str:
-    """``numeric`` when both columns are numbers, else ``exact``."""
-    return "numeric" if is_numeric(a, column_a) and is_numeric(b, column_b) else "exact"
+    """``numeric`` for two numbers or a number and a boolean (1 or 0), else ``exact``."""
+    classes = {column_class(a, column_a), column_class(b, column_b)}
+    return "numeric" if "numeric" in classes <= {"numeric", "boolean"} else "exact"
 
 
 def pair_differs(
@@ -130,9 +130,10 @@ def pair_differs(
     tolerance: float,
 ) -> Column:
     """Mismatch of two aligned values; values of different type classes are never equal."""
-    if column_class(a, column_a) != column_class(b, column_b):
+    numeric = comparison_type(a, b, column_a, column_b) == "numeric"
+    if not numeric and column_class(a, column_a) != column_class(b, column_b):
         return ~(x.isNull() & y.isNull())
-    return values_differ(x, y, comparison_type(a, b, column_a, column_b) == "numeric", tolerance)
+    return values_differ(x, y, numeric, tolerance)
 
 
 def value_measures(

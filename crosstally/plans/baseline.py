@@ -12,6 +12,7 @@ that come back to the driver.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ def impact_columns(profile: DataFrame) -> ImpactColumns:
 
 def _key_checks(
     a: DataFrame, b: DataFrame, key: str, name_a: str, name_b: str, pair: str, scale: int | None,
-    question: str,
+    question: str, start: int,
 ) -> DataFrame:
     """Count, unmatched, row and value evidence from one aggregate over the aligned tables."""
     shared = shared_columns(a, b, key)
@@ -95,7 +96,7 @@ def _key_checks(
         names = {"dataset_a": F.lit(first), "dataset_b": F.lit(second)}
         entries.append(
             evidence_entry(
-                pair, seq, tool, arguments, first, second, metric, figures[metric], finding,
+                pair, start + seq, tool, arguments, first, second, metric, figures[metric], finding,
                 {**names, **figures},
             )
             + [keep.alias("keep")]
@@ -199,7 +200,7 @@ def _impact_check(
     )
 
 
-def baseline_evidence(
+def baseline_checks(
     a: DataFrame,
     b: DataFrame,
     key: str,
@@ -210,20 +211,26 @@ def baseline_evidence(
     scale: int | None = None,
     question: str = "",
     wide: bool | None = None,
+    first: int = 0,
 ) -> DataFrame:
-    """Evidence rows for one pair; lazy, with the impact columns given (or none)."""
+    """The checks of one pair, not numbered yet; ``first`` shifts their place in the run."""
     require_columns(a, [key], name_a)
     require_columns(b, [key], name_b)
     pair = f"{name_a}|{name_b}"
-    after_values = 7 + len(a.columns)
+    after_values = first + 7 + len(a.columns)
     checks = [
-        _key_checks(a, b, key, name_a, name_b, pair, scale, question),
-        _duplicate_check(a, name_a, pair, 4, wide),
-        _duplicate_check(b, name_b, pair, 5, wide),
+        _key_checks(a, b, key, name_a, name_b, pair, scale, question, first),
+        _duplicate_check(a, name_a, pair, first + 4, wide),
+        _duplicate_check(b, name_b, pair, first + 5, wide),
         _impact_check(a, b, key, name_a, name_b, impact_a, pair, after_values, scale),
         _impact_check(b, a, key, name_b, name_a, impact_b, pair, after_values + 1, scale),
     ]
-    return ledger(*checks)
+    return reduce(DataFrame.unionByName, checks)
+
+
+def baseline_evidence(a: DataFrame, b: DataFrame, key: str, *arguments, **options) -> DataFrame:
+    """Numbered evidence for one pair; lazy. Takes the arguments of :func:`baseline_checks`."""
+    return ledger(baseline_checks(a, b, key, *arguments, **options))
 
 
 def reconcile(
@@ -243,15 +250,14 @@ def reconcile(
         raise ReconcileInputError("the datasets share no identifier; give the key explicitly")
     used = {n for r in chosen for n in (r["left_dataset"], r["right_dataset"])}
     roles = {n: impact_columns(profiles[n]) for n in used}
-    pairs = [
-        baseline_evidence(
-            datasets[r["left_dataset"]], datasets[r["right_dataset"]], r["key"],
-            r["left_dataset"], r["right_dataset"], roles[r["left_dataset"]],
-            roles[r["right_dataset"]], scale, question,
+    checks, first = [], 0
+    for left, right, key in chosen:
+        a, b = datasets[left], datasets[right]
+        checks.append(
+            baseline_checks(
+                a, b, key, left, right, roles[left], roles[right], scale, question, first=first
+            )
         )
-        for r in chosen
-    ]
-    evidence = pairs[0]
-    for more in pairs[1:]:
-        evidence = evidence.unionByName(more)
-    return evidence
+        first += 10 + len(a.columns)
+    # A dataset that is part of two pairs is checked for duplicates once.
+    return ledger(*checks, run=None)

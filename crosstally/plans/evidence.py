@@ -70,18 +70,20 @@ def evidence_entry(
     ]
 
 
-def ledger(*evidence: DataFrame) -> DataFrame:
-    """All evidence with repeated calls removed and ids ``E001``, ``E002``, ... per pair.
+def ledger(*evidence: DataFrame, run: str | None = "pair") -> DataFrame:
+    """All evidence with repeated calls removed and ids ``E001``, ``E002``, ... per run.
 
-    A pair has one row per distinct check, so numbering within a pair is a small window.
+    ``run`` names the column that tells runs apart; with None all rows are one run. A run has
+    one row per distinct check, so numbering within a run is a small window.
     """
     rows = reduce(DataFrame.unionByName, evidence)
-    others = [c for c in rows.columns if c not in ("pair", "signature")]
-    kept = rows.groupBy("pair", "signature").agg(
+    keys = [run, "signature"] if run else ["signature"]
+    others = [c for c in rows.columns if c not in keys]
+    kept = rows.groupBy(*keys).agg(
         F.min_by(F.struct(*others), F.struct("attempt", "seq")).alias("first")
     )
-    flat = kept.select("pair", "signature", "first.*")
-    order = Window.partitionBy("pair").orderBy("attempt", "seq", "signature")
+    flat = kept.select(*keys, "first.*").select(*rows.columns)
+    order = Window.partitionBy(run or F.lit("one run")).orderBy("attempt", "seq", "signature")
     return flat.withColumn("evidence_id", F.format_string("E%03d", F.row_number().over(order)))
 
 

@@ -125,6 +125,15 @@ def test_orders_without_payment(frame):
     assert json.loads(one(found)["details"])["affected_date_start"] == "2024-01-02T11:00:00"
 
 
+def test_shared_dataset_is_checked_once_per_run(frame):
+    schema = "id long, v double"
+    found = reconcile(registry(x=frame(schema, (1, 1.0), (2, 2.0)), y=frame(schema, (1, 1.0)), z=frame(schema, (2, 3.0))))
+    calls = [(r["evidence_id"], r["tool"], r["pair"], r["dataset_a"]) for r in found.orderBy("evidence_id").collect()]
+    assert [c[0] for c in calls] == [f"E{i + 1:03d}" for i in range(len(calls))]
+    assert sorted(c[3] for c in calls if c[1] == "find_duplicates") == ["x", "y", "z"]
+    assert [c[2] for c in calls] == sorted(c[2] for c in calls)
+
+
 def test_impact_columns(orders):
     assert impact_columns(profile_columns(orders, "orders")) == ImpactColumns("amount", "order_date", "channel")
 
