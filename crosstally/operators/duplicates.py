@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from crosstally.functions.aggregates import share_percent, sum_where
 from crosstally.functions.types import quoted, require_columns
-from crosstally.operators.heavy import HEAVY_SHARE, SALTS, balanced_join
+from crosstally.operators.heavy import HEAVY_SHARE, SALTS, balanced_join, key_hash
 from crosstally.operators.matching import PREVIEW_ROWS
 from crosstally.sources.writers import materialize
 
@@ -70,10 +70,13 @@ def repeated_groups_wide(
         hashed.groupBy("__row_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1),
         "row-hashes",
     )
+    # The written counts tell which copies are heavy: at most 1 / HEAVY_SHARE of them.
     total = df.agg(F.count(F.lit(1))).scalar()
-    heavy = repeated.where(F.col("n") > total * HEAVY_SHARE).select(
-        F.xxhash64("__row_hash").alias("__heavy_hash")
-    )
+    heavy = [
+        r[0]
+        for r in repeated.where(F.col("n") > total * HEAVY_SHARE)
+        .select(key_hash(["__row_hash"])).collect()
+    ]
     suspects = balanced_join(
         hashed, repeated.select("__row_hash"), ["__row_hash"], "left_semi", salts, heavy
     )

@@ -1,17 +1,18 @@
 """Joins that stay balanced when a few keys hold much of the data.
 
 A key is *heavy* when it holds more than ``HEAVY_SHARE`` of all rows, so there are at most
-``1 / HEAVY_SHARE`` heavy keys whatever the size of the data: that bound is what makes it safe
-to broadcast them. Rows of heavy keys are dealt out over ``salts`` sub-keys, and the matching
-lookup rows are repeated once per sub-key; all other rows join as usual. The answer does not
-depend on which keys are called heavy.
+``1 / HEAVY_SHARE`` heavy keys whatever the size of the data. Their hashes (a list of at most
+1,000 numbers) are settled before the join is planned, as statistics would be: both sides then
+agree on them even when a task is run again, and a table without heavy keys gets Spark's plain
+join. Rows of heavy keys are dealt out over ``salts`` sub-keys, and the matching lookup rows are
+repeated once per sub-key. The answer does not depend on which keys are called heavy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosstally.functions.types import quoted
@@ -19,39 +20,36 @@ from crosstally.functions.types import quoted
 HEAVY_SHARE = 0.001
 SALTS = 64
 _SKETCH_LANES = 256
+_SALT = "__salt"
 
-_HASH, _SALT, _HEAVY, _ITEM = "__key_hash", "__salt", "__heavy", "__heavy_hash"
 
+def key_hash(on: Sequence[str]) -> Column:
+    return F.xxhash64(*[quoted(c) for c in on])
 
-def heavy_key_hashes(rows: DataFrame, on: Sequence[str], share: float = HEAVY_SHARE) -> DataFrame:
-    """Hashes of the heavy keys, at most ``1 / share`` rows.
 
-    One pass over the key columns; every task sends a fixed-size sketch, keys are not shuffled.
-    Sketches meet in lanes first, so that the last task merges a fixed number of them. A key
-    missed or reported wrongly only moves work, never results.
+def heavy_key_hashes(rows: DataFrame, on: Sequence[str], share: float = HEAVY_SHARE) -> list[int]:
+    """Hashes of the heavy keys, at most ``1 / share`` numbers.
+
+    Runs one pass over the key columns: every task sends a fixed-size sketch, keys are not
+    shuffled. Sketches meet in lanes first, so that the last task merges a fixed number of them.
     """
     most = int(1 / share)
     tracked = 4 * most
     hashed = rows.select(
-        F.xxhash64(*[quoted(c) for c in on]).alias(_HASH),
+        key_hash(on).alias("hash"),
         F.pmod(F.spark_partition_id(), F.lit(_SKETCH_LANES)).alias("lane"),
     )
     lanes = hashed.groupBy("lane").agg(
-        F.expr(f"approx_top_k_accumulate({_HASH}, {tracked})").alias("sketch"),
+        F.expr(f"approx_top_k_accumulate(hash, {tracked})").alias("sketch"),
         F.count(F.lit(1)).alias("n"),
     )
-    whole = lanes.agg(
+    # Grouped by a constant: no rows give no group, where an empty sketch would be an error.
+    whole = lanes.groupBy(F.lit("all").alias("lanes")).agg(
         F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"), F.sum("n").alias("n")
     )
-    found = F.expr(f"approx_top_k_estimate(sketch, {most})")
-    top = whole.select("n", F.inline(found).alias("item", "item_count"))
-    return top.where(F.col("item_count") > F.col("n") * share).select(F.col("item").alias(_ITEM))
-
-
-def _flag_heavy(df: DataFrame, on: Sequence[str], heavy: DataFrame) -> DataFrame:
-    hashed = df.withColumn(_HASH, F.xxhash64(*[quoted(c) for c in on]))
-    flagged = hashed.join(F.broadcast(heavy), F.col(_HASH) == F.col(_ITEM), "left")
-    return flagged.withColumn(_HEAVY, F.col(_ITEM).isNotNull()).drop(_ITEM, _HASH)
+    estimate = F.expr(f"approx_top_k_estimate(sketch, {most})")
+    top = whole.select("n", F.inline(estimate).alias("item", "rows"))
+    return [r["item"] for r in top.where(F.col("rows") > F.col("n") * share).collect()]
 
 
 def balanced_join(
@@ -60,25 +58,24 @@ def balanced_join(
     on: Sequence[str],
     how: str,
     salts: int = SALTS,
-    heavy: DataFrame | None = None,
+    heavy: Sequence[int] | None = None,
 ) -> DataFrame:
     """Join raw ``rows`` to ``lookup``, which has one row per key.
 
     ``how`` is inner, left, left_semi or left_anti; key columns carry the same names and types
-    on both sides. ``salts=0`` gives Spark's plain join.
+    on both sides. ``salts=0`` gives Spark's plain join without looking for heavy keys.
     """
-    if salts <= 0:
+    if salts > 0 and heavy is None:
+        heavy = heavy_key_hashes(rows, on)
+    if salts <= 0 or not heavy:
         return rows.join(lookup, list(on), how)
-    heavy = heavy if heavy is not None else heavy_key_hashes(rows, on)
+    is_heavy = key_hash(on).isin(*heavy)
     # The partition number is stable when a lost task is run again, and it also spreads
     # identical rows, which a hash of the row would not.
-    left = _flag_heavy(rows, on, heavy)
-    left = left.withColumn(
-        _SALT, F.when(F.col(_HEAVY), F.pmod(F.spark_partition_id(), F.lit(salts))).otherwise(0)
-    ).drop(_HEAVY)
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = _flag_heavy(lookup, on, heavy)
-    right = right.withColumn(
-        _SALT, F.explode(F.when(F.col(_HEAVY), every_salt).otherwise(F.array(F.lit(0))))
-    ).drop(_HEAVY)
+    lane = F.pmod(F.spark_partition_id(), F.lit(salts))
+    left = rows.withColumn(_SALT, F.when(is_heavy, lane).otherwise(0))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    right = lookup.withColumn(
+        _SALT, F.explode(F.when(is_heavy, every).otherwise(F.array(F.lit(0))))
+    )
     return left.join(right, [*on, _SALT], how).drop(_SALT)
