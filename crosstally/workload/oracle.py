@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from crosstally.functions.columns import AMOUNT_WORDS, DIMENSION_PRIORITY, FAVOURED_DIMENSION_WORDS
 from crosstally.functions.text import API_KEY_MARK, API_KEY_PATTERN, BEARER_MARK, BEARER_PATTERN
-from crosstally.functions.text import WHITESPACE, canonical_json
+from crosstally.functions.text import canonical_json
 
 # Derived tables ------------------------------------------------------------------------------
 
@@ -888,6 +888,10 @@ ORACLE["score_terms"] = f"""SELECT doc_id,
     NOT ({_has("license")} OR {_has("etl")} OR {_has("http")}) AS safety_pass
 FROM documents"""
 
+WHITESPACE = (
+    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+)
 _MASKED = (
     f"regexp_replace(regexp_replace(text, '{API_KEY_PATTERN}', '{API_KEY_MARK}', 'g'),"
     f" '{BEARER_PATTERN}', '\\1{BEARER_MARK}', 'g')"

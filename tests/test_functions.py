@@ -165,6 +165,12 @@ def test_redaction(frame):
     ]
 
 
+def test_white_space_is_squeezed_as_in_python(frame):
+    text = " a\u3000\u2003b \t\x85\n c\xa0d\u200be\x1cf  "
+    df = frame("t string", (text,))
+    assert rows(df.select(redact(F.col("t")))) == [(" ".join(text.split()),)]
+
+
 def test_log_line_is_shortened_after_redaction_of_the_whole_text(frame):
     df = frame("t string", ("x" * 600 + " sk-or-v1-secret",), ("short",))
     line, whole = rows(df.select(log_line(F.col("t")), redact(F.col("t"))))[0]
