@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,18 +30,20 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.write.mode(mode).parquet(path)
 
 
+@lru_cache(maxsize=1)
+def _one_machine_folder() -> str:
+    return tempfile.mkdtemp(prefix="crosstally-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, as the session names it.
 
-    Where it is unset a folder of our own is set, but only for a one-machine session.
+    Where it is unset a one-machine session gets a folder of its own; a cluster gets an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="crosstally-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or _one_machine_folder()).rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import types as T
 from crosstally.errors import ReconcileInputError
 from crosstally.sources.readers import nan_to_null, read_csv, read_json, read_parquet
 from crosstally.sources.registry import DatasetRegistry
-from crosstally.sources.writers import materialize, write_csv, write_json, write_parquet
+from crosstally.sources.writers import (
+    materialize, shared_folder, write_csv, write_json, write_parquet,
+)
 
 
 def csv(tmp_path, text, name="data.csv"):
@@ -83,7 +85,21 @@ def test_registry(spark, orders, payments):
 def test_materialize_uses_the_shared_folder(spark, orders):
     kept = materialize(orders, "test")
     assert unordered(kept) == unordered(orders)
-    assert spark.conf.get("spark.checkpoint.dir") in kept.inputFiles()[0]
+    assert shared_folder(spark) in kept.inputFiles()[0]
+
+
+def test_shared_folder_without_a_setting():
+    from types import SimpleNamespace
+
+    def session(master, folder=None):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master)
+        )
+
+    assert shared_folder(session("local[4]")) == shared_folder(session("local[4]"))
+    assert shared_folder(session("yarn", "hdfs://shared/x/")) == "hdfs://shared/x"
+    with pytest.raises(RuntimeError):
+        shared_folder(session("yarn"))
 
 
 def test_csv_keeps_quotes_breaks_and_microseconds(spark, tmp_path, frame):
