@@ -4,12 +4,14 @@
 2. A class's shingle hashes fall into bins; a bin's least hash is its signature value, and an empty
    bin borrows from bins that a fixed random sequence probes (Shrivastava 2017). Bands of bins
    are hashed into buckets.
-3. In every bucket the classes are linked to one centre, the least by a hash of class and band:
-   candidates grow with the members of a bucket, not with their pairs.
+3. In every bucket the classes are linked to one centre, the class whose buckets hold the most members in
+   all (for copies of one text with different edits that is the text they come from): candidates
+   grow with the members of a bucket, not with their pairs.
 4. Candidates are confirmed on full shingle sets; links give components.
 5. Two members of a bucket may be alike though neither is like the centre. So where a bucket's
-   members still lie in several components, those outside its largest one are also compared with all
-   members of other components. After that no pair that shares a bucket is left undecided.
+   members still lie in several components, those outside its largest one are compared with the members
+   of other components by counting shared shingles. Only links leave that step, and it is dealt
+   out in groups of a bounded number of sets. After it no pair that shares a bucket is undecided.
 
 A pair at the threshold misses all buckets with a probability of ``(1 - threshold**rows)**bands``, 2e-6
 as set; above it the odds fall quickly.
@@ -19,7 +21,7 @@ fewer words than a shingle is one shingle of all its words; rows of equal id sta
 of the same text or, where their texts differ, are judged row by row; an empty table gives no rows;
 other columns are ignored. A null id is kept; it cannot name a component that has another id.
 
-Scale: texts are read twice (signatures; sets of the classes that have candidates). Everything
+Scale: texts are read twice (signatures; sets of the classes that share a bucket). Everything
 else moves digests. Groups of copies collapse in map-side aggregates. Joins on a hot bucket, class
 or component have one small side or are splittable by Spark's skew join.
 """
@@ -41,6 +43,7 @@ from crosstally.llm.shingles import Shingler, mixed
 ROWS, BANDS, PROBES = 3, 24, 64
 BINS = ROWS * BANDS
 THRESHOLD = 0.75
+PART = 1024
 
 
 def _probe_order() -> np.ndarray:
@@ -129,29 +132,96 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _between(table: pa.Table) -> pa.Table:
+    """Links between a group's stragglers and members of other components.
+
+    The stragglers' shingles form an inverted list; each member's shingles are counted in it.
+    """
+    straggling = np.array(table.column("straggler").to_pylist(), bool)
+    names, parts = table.column("u").to_pylist(), table.column("component").to_pylist()
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+    few, others = np.flatnonzero(straggling), np.flatnonzero(~straggling)
+    found_u, found_v = [], []
+    if len(few) and len(others):
+        sizes = np.array([len(sets[i]) for i in few])
+        every = np.concatenate([sets[i] for i in few])
+        order = np.argsort(every, kind="stable")
+        owner = np.repeat(np.arange(len(few)), sizes)[order]
+        values, first = np.unique(every[order], return_index=True)
+        counts = np.diff(np.append(first, len(every)))
+        component = {c: n for n, c in enumerate(dict.fromkeys(parts))}
+        part = np.array([component[c] for c in parts])
+        for i in others:
+            at = np.searchsorted(values, sets[i])
+            at = at[values[np.minimum(at, len(values) - 1)] == sets[i]]
+            n = counts[at]
+            if not len(n):
+                continue
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            shared = np.bincount(owner[np.repeat(first[at], n) + within], minlength=len(few))
+            like = 100 * shared >= round(100 * THRESHOLD) * (sizes + len(sets[i]) - shared)
+            for j in np.flatnonzero(like & (part[few] != part[i])):
+                found_u.append(names[few[j]])
+                found_v.append(names[i])
+    return pa.table([pa.array(found_u, pa.binary()), pa.array(found_v, pa.binary())], ["u", "v"])
+
+
 def _similar_sizes(pairs: DataFrame) -> DataFrame:
     """Sets whose sizes differ too much cannot pass the threshold."""
     percent = round(100 * THRESHOLD)
     return pairs.where(F.least("u_n", "v_n") * 100 >= F.greatest("u_n", "v_n") * percent)
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
-    """Those of ``pairs`` (u, v) that pass on the full sets of a member of each class."""
-    asked = (
-        pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
-        .join(classes.select("class", "member"), "class")
-    )
-    texts = docs.join(asked.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = (
+def _shingle_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, shingles of the given classes (class, member), from their members' texts."""
+    texts = docs.join(classes.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return (
         texts.select("text").mapInArrow(_sets, "class binary, shingles binary")
-        .join(asked.select("class"), "class", "left_semi")
+        .join(classes.select("class"), "class", "left_semi")
         .groupBy("class").agg(F.any_value("shingles").alias("shingles"))
     )
-    sets = stored(sets, f"{label}-sets")
+
+
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) that pass on their full sets."""
     both = pairs.select("u", "v").join(
         sets.select(F.col("class").alias("u"), F.col("shingles").alias("u_set")), "u"
     ).join(sets.select(F.col("class").alias("v"), F.col("shingles").alias("v_set")), "v")
-    return stored(both.mapInArrow(_confirmed, "u binary, v binary"), f"{label}-links")
+    return both.mapInArrow(_confirmed, "u binary, v binary")
+
+
+def _missed(crowded: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of one bucket that lie in different components.
+
+    Of each bucket the members outside its largest component (the stragglers) meet all members. Both are
+    dealt into parts of about ``PART`` by hash, and each pair of parts is one group.
+    """
+    nodes = found.withColumnRenamed("node", "u")
+    placed = (
+        crowded.select("band", "key", "u", "size").join(nodes, "u", "left")
+        .withColumn("component", F.coalesce("component", "u"))
+    )
+    parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("m"))
+    largest = parts.groupBy("band", "key").agg(
+        F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("size"), F.count(F.lit(1)).alias("parts")
+    ).where("parts > 1").select(
+        "band", "key", F.col("top.component").alias("largest"),
+        F.ceil((F.col("size") - F.col("top.m")) / PART).cast("int").alias("few"),
+        F.ceil(F.col("size") / PART).cast("int").alias("lanes"),
+    )
+    split = stored(placed.drop("size").join(largest, ["band", "key"]), "split")
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    some_of = lambda n: F.pmod(F.xxhash64("u", F.lit(n)), F.col(n)).cast("int")
+    stragglers = split.where("component <> largest").select(
+        "band", "key", some_of("few").alias("part"), F.explode(all_of("lanes")).alias("lane"), "u", "component",
+        F.lit(True).alias("straggler"),
+    )
+    others = split.select(
+        "band", "key", F.explode(all_of("few")).alias("part"), some_of("lanes").alias("lane"), "u", "component",
+        F.lit(False).alias("straggler"),
+    )
+    rows = stragglers.unionByName(others).join(sets.withColumnRenamed("class", "u"), "u")
+    return rows.groupBy("band", "key", "part", "lane").applyInArrow(_between, "u binary, v binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,25 +242,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         ),
         "classes",
     )
-    members = classes.select("class", "n", F.posexplode("keys").alias("band", "key"))
-    spread = F.struct(F.xxhash64("class", "band").alias("h"), F.col("class"), F.col("n"))
-    centres = (
-        members.groupBy("band", "key").agg(F.min(spread).alias("low"), F.max(spread).alias("high"))
-        .where("low.class <> high.class").select("band", "key", "low")
-    )
-    crowded = stored(
-        members.join(centres, ["band", "key"]).select(
-            "band", "key", F.col("class").alias("u"), F.col("n").alias("u_n"),
-            F.col("low.class").alias("v"), F.col("low.n").alias("v_n"),
-        ),
-        "crowded",
+    members = classes.select(F.col("class").alias("u"), F.col("n").alias("u_n"), F.posexplode("keys").alias("band", "key"))
+    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowded = stored(members.join(sizes, ["band", "key"]), "crowded")
+    crowds = crowded.groupBy("u").agg(F.sum("size").alias("crowd"))
+    sets = stored(
+        _shingle_sets(docs, crowds.select(F.col("u").alias("class")).join(classes.select("class", "member"), "class")),
+        "sets",
     )
-    stars = _similar_sizes(crowded.where("u <> v").select("u", "v", "u_n", "v_n").distinct())
-    links = _links(docs, classes, stored(stars, "stars"), "star")
+    rank = F.struct("crowd", F.col("u").alias("v"), F.col("u_n").alias("v_n"))
+    centres = crowded.join(crowds, "u").groupBy("band", "key").agg(F.max(rank).alias("top")).select("band", "key", "top.v", "top.v_n")
+    stars = crowded.join(centres, ["band", "key"]).where("u <> v").select("u", "v", "u_n", "v_n").distinct()
+    links = stored(_links(_similar_sizes(stars), sets), "links")
     found = stored(components(links, "joined"), "components")
-
-    rest = _links(docs, classes, stored(_undecided(crowded, found, stars), "rest"), "rest")
-    found = components(links.union(rest), "all-joined")
+    missed = stored(_missed(crowded, found, sets), "missed")
+    found = components(links.union(missed), "all-joined")
 
     named = worded.select("class", "doc_id").distinct().join(
         found.withColumnRenamed("node", "class"), "class", "left"
@@ -209,33 +275,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "doc_id", "n_shingles", "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
-
-
-def _undecided(crowded: DataFrame, found: DataFrame, stars: DataFrame) -> DataFrame:
-    """Pairs of one bucket that lie in different components and were not compared yet."""
-    nodes = found.withColumnRenamed("node", "u")
-    placed = (
-        crowded.select("band", "key", "u", "u_n").join(nodes, "u", "left")
-        .withColumn("component", F.coalesce("component", "u"))
-    )
-    parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("m"))
-    largest = parts.groupBy("band", "key").agg(
-        F.max(F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts")
-    ).where("parts > 1").select("band", "key", F.col("top.component").alias("largest"))
-    split = stored(placed.join(largest, ["band", "key"]), "split")
-    few = split.where("component <> largest").drop("largest")
-    others = split.select(
-        "band", "key", F.col("u").alias("v"), F.col("u_n").alias("v_n"),
-        F.col("component").alias("v_component"), (F.col("component") == F.col("largest")).alias("in_largest"),
-    )
-    met = (
-        few.join(others, ["band", "key"])
-        .where("component <> v_component and (in_largest or u < v)")
-        .select(
-            F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"),
-            F.when(F.col("u") > F.col("v"), F.col("u_n")).otherwise(F.col("v_n")).alias("u_n"),
-            F.when(F.col("u") > F.col("v"), F.col("v_n")).otherwise(F.col("u_n")).alias("v_n"),
-        )
-    )
-    known = stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    return _similar_sizes(met).distinct().join(known, ["u", "v"], "left_anti")

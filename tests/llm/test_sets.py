@@ -86,16 +86,19 @@ def test_near_duplicates_of_repeated_null_and_missing_rows(spark):
     assert [(r["component_id"], r["kept"]) for r in only] == [(None, True)] * 2
 
 
-def test_two_alike_that_are_unlike_the_centre_are_still_linked(spark):
-    """One bucket can hold a and b, alike, and a centre that is like neither: the repair finds a-b."""
-    classes = [bytes([i]) * 16 for i in range(1, 6)]
-    crowded = spark.createDataFrame(
-        [(0, 7, bytearray(c), 10, bytearray(classes[0]), 10) for c in classes], "band int, key long, u binary, u_n long, v binary, v_n long"
-    )
-    found = spark.createDataFrame([], "node binary, component binary")
-    stars = crowded.where("u <> v").select("u", "v", "u_n", "v_n")
-    pairs = {tuple(sorted((bytes(r["u"]), bytes(r["v"])))) for r in minhash._undecided(crowded, found, stars).collect()}
-    assert pairs == set(combinations(classes[1:], 2))
+@pytest.mark.parametrize("part", [2, 1024])
+def test_two_alike_that_are_unlike_the_centre_are_still_linked(spark, monkeypatch, part):
+    """One bucket holds pairs that are alike and a centre like none of them: the repair finds the pairs."""
+    monkeypatch.setattr(minhash, "PART", part)
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.integers(0, 2**63, 40, dtype=np.uint64)) for _ in range(8)]
+    sets += [np.sort(np.append(s[:-3], rng.integers(0, 2**63, 2, dtype=np.uint64))) for s in sets[1:5]]
+    names = [bytes([i + 1]) * 16 for i in range(len(sets))]
+    crowded = spark.createDataFrame([(0, 7, bytearray(c), 40, len(sets)) for c in names], "band int, key long, u binary, u_n long, size long")
+    table = spark.createDataFrame([(bytearray(c), bytearray(s.tobytes())) for c, s in zip(names, sets)], "class binary, shingles binary")
+    found = spark.createDataFrame([(bytearray(names[1]), bytearray(names[1])), (bytearray(names[8]), bytearray(names[1]))], "node binary, component binary")
+    pairs = {tuple(sorted((bytes(r["u"]), bytes(r["v"])))) for r in minhash._missed(crowded, found, table).collect()}
+    assert pairs == {(names[i], names[i + 7]) for i in (2, 3, 4)}
 
 
 def test_signature_estimates_likeness():
