@@ -132,17 +132,15 @@ def _threshold(scored: DataFrame) -> float:
     good, bad = sum(r["good"] for r in bins), sum(r["bad"] for r in bins)
     if not good or not bad:
         return 0.0
-    best, at = -1.0, []
+    best, at, below = -1.0, 0.0, bins[0]["bin"]
     lost = caught = 0
     for r in bins:
+        # Between the bins on both sides of the cut.
         accuracy = (good - lost) / good + caught / bad
-        if accuracy > best + 1e-12:
-            best, at = accuracy, []
-        if accuracy >= best - 1e-12:
-            at.append(r["bin"] * BIN)
-        lost += r["good"]
-        caught += r["bad"]
-    return at[len(at) // 2]
+        if accuracy > best:
+            best, at = accuracy, (below + r["bin"]) / 2 * BIN
+        lost, caught, below = lost + r["good"], caught + r["bad"], r["bin"] + 1
+    return at
 
 
 def judge(
