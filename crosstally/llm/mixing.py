@@ -29,7 +29,7 @@ GOLDEN = 2654435769
 GRID = 1 << 32
 CELL_BITS = 20
 SLOTS_PER_CHUNK = 8192
-DOCS_PER_BUCKET = 2048
+DOCS_PER_BUCKET = 512
 
 
 def golden_point(slot: Column) -> Column:
@@ -82,8 +82,11 @@ def source_targets(
     )
 
 
-def schedule(targets: DataFrame, n_slots: int, block_words: int) -> DataFrame:
-    """slot, source_no, slot_rank, block_no: which block of which source each slot takes."""
+def schedule(targets: DataFrame, n_slots: int, block_words: int, most: float) -> DataFrame:
+    """slot, source_no, slot_rank, block_no: which block of which source each slot takes.
+
+    A slot that would take a source's blocks more than ``most`` times takes nothing.
+    """
     spark = targets.sparkSession
     order = Window.orderBy("source_no")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -115,7 +118,7 @@ def schedule(targets: DataFrame, n_slots: int, block_words: int) -> DataFrame:
         .select("slot", "source_no", "blocks", "chunk", "one")
     )
     ranked = running_sum(slots, ["source_no"], "chunk", ["slot"], "one", "slot_rank")
-    return ranked.select(
+    return ranked.where(F.col("slot_rank") < F.floor(F.col("blocks") * F.lit(float(most)))).select(
         "slot", "source_no", "slot_rank", F.pmod("slot_rank", "blocks").alias("block_no")
     )
 
@@ -171,7 +174,7 @@ def mix(
             (F.col("high") - F.col("low")).alias("words"),
         )
     )
-    slots = schedule(targets, round(total / block_words), block_words)
+    slots = schedule(targets, round(total / block_words), block_words, most)
     mixed = slots.drop("slot_rank").join(pieces, ["source_no", "block_no"])
     return mixed.select("slot", "source_no", "block_no", "doc_id", "start", "first_word", "words"), placed
 

@@ -111,8 +111,9 @@ shares AS (
 points AS (
   SELECT i, CAST((i::HUGEINT * 2654435769) % 4294967296 AS BIGINT) AS point FROM (SELECT unnest(range(n)) AS i FROM n)),
 slots AS (
-  SELECT s.no, (row_number() OVER (PARTITION BY s.no ORDER BY i) - 1) % s.blocks AS block
-  FROM points p JOIN shares s ON p.point >= s.low AND p.point < s.high),
+  SELECT no, nth % blocks AS block FROM (
+    SELECT s.no, s.blocks, row_number() OVER (PARTITION BY s.no ORDER BY i) - 1 AS nth
+    FROM points p JOIN shares s ON p.point >= s.low AND p.point < s.high) WHERE nth < 2 * blocks),
 uses AS (SELECT no, block, count(*) AS times FROM slots GROUP BY no, block),
 placed AS (
   SELECT doc_id, t.no, size, t.source_size, t.target,
