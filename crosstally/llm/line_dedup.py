@@ -236,7 +236,8 @@ def dedup_lines(
         runs.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(span).alias("__spans"))
     )
     cut = (
-        docs.withColumn("__doc", key).join(spans, "__doc", "left")
+        # The lists grow with the corpus, so texts meet them in a shuffle at every size.
+        docs.withColumn("__doc", key).join(spans.hint("merge"), "__doc", "left")
         .withColumn("__cut", _cut(quoted(text), F.col("__spans.place"), F.col("__spans.stop")))
         .withColumns({
             text: F.col("__cut.text"), "__n_lines": F.col("__cut.n_lines"), "__n_removed": F.col("__cut.n_removed"),
