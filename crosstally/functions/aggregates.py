@@ -20,13 +20,15 @@ def exact(column: Column, data_type: T.DataType, scale: int | None) -> Column:
     """The value to add up.
 
     Sums of doubles depend on row order, hence on partitioning. With ``scale`` (digits after
-    the point, e.g. 2 for money) doubles are added as DECIMAL(18, scale) and every run and
-    every cluster size gives the same digits.
+    the point, e.g. 2 for money) doubles are added as decimals, and every run and every cluster
+    size gives the same digits. Four digits more than ``scale`` are kept, so values that have more
+    digits than announced are not rounded before they are added. NaN counts as null.
     """
     if isinstance(data_type, T.BooleanType):
         return column.cast("long")
-    if scale is not None and isinstance(data_type, (T.FloatType, T.DoubleType)):
-        return column.cast(T.DecimalType(18, scale))
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        column = F.nullif(column, F.lit(float("nan")).cast(data_type))
+        return column if scale is None else column.cast(T.DecimalType(18, min(scale + 4, 18)))
     return column
 
 
@@ -74,7 +76,7 @@ def aggregate_column(
         raise ReconcileInputError(f"{name} needs a metric column")
     require_columns(df, [metric])
     if name == "count":
-        return F.count(quoted(metric))
+        return F.count(exact(quoted(metric), df.schema[metric].dataType, None))
     if column_class(df, metric) not in ("numeric", "boolean"):
         raise ReconcileInputError(f"{name} needs a numeric metric: {metric}")
     value = exact(quoted(metric), df.schema[metric].dataType, scale)

@@ -17,6 +17,7 @@ FREQUENCIES = {
     "year": ("y", "year", "yearly"),
 }
 
+_OFFSET = r"^\s*\d{4}-\d{1,2}-\d{1,2}[ T]\d.*([zZ]|[+-]\d{1,2}(:?\d{2})?)\s*$"
 _ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
 
 
@@ -42,7 +43,13 @@ def as_timestamp(df: DataFrame, column: str, date_format: str | None = None) ->
         return F.lit(None).cast("timestamp_ntz")
     if date_format is not None:
         return F.try_to_timestamp(value, F.lit(date_format)).cast("timestamp_ntz")
-    return F.when(value.rlike(_ISO_DATE), value.try_cast("timestamp_ntz"))
+    # A text with an offset names a moment: it is told in UTC, as texts without one are.
+    moment = F.convert_timezone(
+        F.current_timezone(), F.lit("UTC"), value.try_cast("timestamp").cast("timestamp_ntz")
+    )
+    return F.when(value.rlike(_OFFSET), moment).when(
+        value.rlike(_ISO_DATE), value.try_cast("timestamp_ntz")
+    )
 
 
 def period_start(timestamp: Column, unit: str) -> Column:

@@ -94,8 +94,9 @@ def one_is_null(a: Column, b: Column) -> Column:
 
 
 def values_differ(a: Column, b: Column, numeric: bool, tolerance: float = 0.0) -> Column:
-    """Never null: numeric beyond tolerance, or unequal, or null on exactly one side."""
+    """Never null: numeric beyond tolerance, or unequal, or null (NaN) on exactly one side."""
     if numeric:
-        beyond = F.abs(a.cast("double") - b.cast("double")) > F.lit(float(tolerance))
-        return F.coalesce(beyond, F.lit(False)) | one_is_null(a, b)
+        x, y = (F.nullif(side.cast("double"), F.lit(float("nan"))) for side in (a, b))
+        beyond = F.abs(x - y) > F.lit(float(tolerance))
+        return F.coalesce(beyond, F.lit(False)) | one_is_null(x, y)
     return ~a.eqNullSafe(b)

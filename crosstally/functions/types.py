@@ -5,7 +5,9 @@ Nothing here runs a Spark job.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import functools
+from collections.abc import Callable, Iterable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,31 @@ def type_class(data_type: T.DataType) -> str:
     return "other"
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN as null in float columns, so that "missing" has one meaning everywhere."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    if not floats:
+        return df
+    return df.select(
+        *[
+            F.when(~F.isnan(quoted(c)), quoted(c)).alias(c) if c in floats else quoted(c)
+            for c in df.columns
+        ]
+    )
+
+
+def nan_is_null(operator: Callable[..., Any]) -> Callable[..., Any]:
+    """For public operators: every DataFrame they are given has null where it had NaN."""
+    def cleaned(value: Any) -> Any:
+        return nan_to_null(value) if isinstance(value, DataFrame) else value
+
+    @functools.wraps(operator)
+    def call(*args: Any, **options: Any) -> Any:
+        return operator(*map(cleaned, args), **{k: cleaned(v) for k, v in options.items()})
+
+    return call
+
+
 def column_class(df: DataFrame, column: str) -> str:
     return type_class(df.schema[column].dataType)
 

@@ -17,6 +17,7 @@ from crosstally.errors import ReconcileInputError
 from crosstally.functions.aggregates import count_where, exact, rows_from, sum_where
 from crosstally.functions.columns import shared_columns
 from crosstally.functions.types import (
+    nan_is_null,
     column_class,
     common_type,
     quoted,
@@ -32,6 +33,7 @@ DEFAULT_TOLERANCE = 0.01
 SHOWN_RESIDUAL = 0.01
 
 
+@nan_is_null
 def fingerprint_counts(
     a: DataFrame, b: DataFrame, key_a: str, key_b: str, metric_a: str, metric_b: str
 ) -> DataFrame:
@@ -82,6 +84,7 @@ def _key_figures(counts: DataFrame, scale: int | None) -> DataFrame:
     return counts.groupBy("key").agg(*aggregates)
 
 
+@nan_is_null
 def bridge_summary(
     a: DataFrame,
     b: DataFrame,
@@ -210,6 +213,7 @@ def bridge_table(summary: DataFrame) -> DataFrame:
     return rows.where("shown").drop("shown")
 
 
+@nan_is_null
 def extra_copies(
     a: DataFrame, b: DataFrame, key_a: str, key_b: str, metric_a: str, metric_b: str,
     side: str = "a",
@@ -233,12 +237,13 @@ def extra_copies(
 
 
 def extra_copies_preview(*arguments, limit: int = PREVIEW_ROWS, **options) -> DataFrame:
-    """The first ``limit`` rows of :func:`extra_copies` in fingerprint order."""
+    """The first ``limit`` rows of :func:`extra_copies` in fingerprint order, nulls last."""
     rows = extra_copies(*arguments, **options)
     order = ["key", "metric", *rows.columns[4:]]
-    return rows.orderBy(*[quoted(c) for c in order]).limit(limit)
+    return rows.orderBy(*[quoted(c).asc_nulls_last() for c in order]).limit(limit)
 
 
+@nan_is_null
 def only_keys(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
     """All keys found on one side only: ``side, key, row_count``."""
     counts = key_counts(a, b, key_a, key_b).where(F.col("key").isNotNull())

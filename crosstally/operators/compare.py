@@ -27,6 +27,7 @@ from crosstally.functions.aggregates import (
 from crosstally.functions.columns import shared_columns
 from crosstally.functions.predicates import one_is_null, values_differ
 from crosstally.functions.types import (
+    nan_is_null,
     column_class,
     quoted,
     require_columns,
@@ -50,6 +51,7 @@ def aggregate_report(aggregation: str, a: Column, b: Column) -> dict[str, Column
     }
 
 
+@nan_is_null
 def compare_aggregates(
     a: DataFrame,
     b: DataFrame,
@@ -73,6 +75,7 @@ def _one(value: Column, data_type: T.DataType) -> Column:
     return F.max(value) if isinstance(data_type, ordered) else F.first(value, ignorenulls=True)
 
 
+@nan_is_null
 def align_by_key(
     a: DataFrame,
     b: DataFrame,
@@ -199,6 +202,7 @@ def _checked_value_pair(
     return comparison_type(a, b, value_a, value_b)
 
 
+@nan_is_null
 def compare_values(
     a: DataFrame,
     b: DataFrame,
@@ -219,6 +223,7 @@ def compare_values(
     )
 
 
+@nan_is_null
 def value_mismatches(
     a: DataFrame,
     b: DataFrame,
@@ -304,6 +309,7 @@ def _row_comparison(a, b, key_a, key_b, columns, tolerance):
     return chosen, aligned
 
 
+@nan_is_null
 def compare_rows(
     a: DataFrame,
     b: DataFrame,
@@ -324,6 +330,7 @@ def compare_rows(
     )
 
 
+@nan_is_null
 def row_mismatches_by_column(
     a: DataFrame,
     b: DataFrame,
@@ -348,6 +355,7 @@ def row_mismatches_by_column(
     )
 
 
+@nan_is_null
 def mismatched_keys(
     a: DataFrame,
     b: DataFrame,

@@ -10,16 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from crosstally.functions.aggregates import share_percent, sum_where
-from crosstally.functions.types import quoted, require_columns
-from crosstally.operators.heavy import HEAVY_SHARE, SALTS, balanced_join, key_hash
+from crosstally.functions.types import nan_is_null, quoted, require_columns
 from crosstally.operators.matching import PREVIEW_ROWS
-from crosstally.sources.writers import materialize
-
-WIDE_ROW_BYTES = 256
-_TEXT_BYTES = 64
 
 
 def _checked(df: DataFrame, key_columns: Sequence[str] | None) -> list[str]:
@@ -36,12 +30,7 @@ def groupable(df: DataFrame, column: str) -> Column:
     return value.alias(column)
 
 
-def _row_bytes(df: DataFrame, columns: Sequence[str]) -> int:
-    """A schema-only guess at the width of a row."""
-    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    return sum(8 if isinstance(df.schema[c].dataType, fixed) else _TEXT_BYTES for c in columns)
-
-
+@nan_is_null
 def repeated_groups(df: DataFrame, key_columns: Sequence[str] | None = None) -> DataFrame:
     """Each repeated combination once, with its number of rows in ``copies``; nulls equal nulls.
 
@@ -54,61 +43,30 @@ def repeated_groups(df: DataFrame, key_columns: Sequence[str] | None = None) ->
     return counted.where(F.col("copies") > 1)
 
 
-def repeated_groups_wide(
-    df: DataFrame, key_columns: Sequence[str] | None = None, salts: int = SALTS
-) -> DataFrame:
-    """:func:`repeated_groups` for wide rows (long texts): whole rows are not all shuffled.
-
-    A first pass shuffles 8-byte row hashes and writes those seen more than once; only rows
-    with such a hash are then grouped by their real values, so a hash collision cannot make a
-    duplicate. Needs the session's shared folder.
-    """
-    columns = _checked(df, key_columns)
-    rows = df.select(*[groupable(df, c) for c in columns])
-    hashed = rows.withColumn("__row_hash", F.xxhash64(*[quoted(c) for c in columns]))
-    repeated = materialize(
-        hashed.groupBy("__row_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1),
-        "row-hashes",
-    )
-    # The written counts tell which copies are heavy: at most 1 / HEAVY_SHARE of them.
-    total = df.agg(F.count(F.lit(1))).scalar()
-    heavy = [
-        r[0]
-        for r in repeated.where(F.col("n") > total * HEAVY_SHARE)
-        .select(key_hash(["__row_hash"])).collect()
+def row_digest(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """128 bits that name a row's values: two hashes of the columns with different beginnings."""
+    values = [groupable(df, c) for c in columns]
+    missing = F.array(*[v.isNull() for v in values])
+    return [
+        F.xxhash64(F.lit(n), missing, *values).alias(f"__digest_{n}") for n in (1, 2)
     ]
-    suspects = balanced_join(
-        hashed, repeated.select("__row_hash"), ["__row_hash"], "left_semi", salts, heavy
-    )
-    return repeated_groups(suspects.drop("__row_hash"))
 
 
-def find_duplicates(
-    df: DataFrame, key_columns: Sequence[str] | None = None, wide: bool | None = None
-) -> DataFrame:
+@nan_is_null
+def find_duplicates(df: DataFrame, key_columns: Sequence[str] | None = None) -> DataFrame:
     """One row: ``analysis_type, checked_columns, row_count, duplicate_row_count, ...``.
 
-    Without ``key_columns`` whole rows are compared. ``wide`` chooses the plan for long rows;
-    by default the schema decides.
+    Without ``key_columns`` whole rows are compared. Rows of any width are counted by a 128-bit digest, so
+    long texts are not shuffled, and copies collapse before the shuffle.
     """
     columns = _checked(df, key_columns)
-    if wide is None:
-        wide = _row_bytes(df, columns) > WIDE_ROW_BYTES
-    if wide:
-        found = repeated_groups_wide(df, key_columns).agg(
-            sum_where(F.lit(True), F.col("copies")).alias("duplicate_row_count"),
-            F.count(F.lit(1)).alias("repeated_group_count"),
-        )
-        found = found.withColumn("row_count", df.agg(F.count(F.lit(1))).scalar())
-    else:
-        counted = df.groupBy(*[groupable(df, c) for c in columns]).agg(
-            F.count(F.lit(1)).alias("copies")
-        )
-        found = counted.agg(
-            sum_where(F.lit(True), F.col("copies")).alias("row_count"),
-            sum_where(F.col("copies") > 1, F.col("copies")).alias("duplicate_row_count"),
-            F.count_if(F.col("copies") > 1).alias("repeated_group_count"),
-        )
+    digest = row_digest(df, columns)
+    counted = df.select(*digest).groupBy("__digest_1", "__digest_2").agg(F.count(F.lit(1)).alias("copies"))
+    found = counted.agg(
+        sum_where(F.lit(True), F.col("copies")).alias("row_count"),
+        sum_where(F.col("copies") > 1, F.col("copies")).alias("duplicate_row_count"),
+        F.count_if(F.col("copies") > 1).alias("repeated_group_count"),
+    )
     return found.select(
         F.lit("repeated_key" if key_columns else "exact_row").alias("analysis_type"),
         F.array(*[F.lit(c) for c in columns]).alias("checked_columns"),
@@ -129,7 +87,8 @@ def duplicate_preview(
     return groups.orderBy(*[quoted(c) for c in groups.columns if c != "copies"]).limit(limit)
 
 
-def duplicate_rows(df: DataFrame, key_columns: Sequence[str], salts: int = SALTS) -> DataFrame:
+@nan_is_null
+def duplicate_rows(df: DataFrame, key_columns: Sequence[str]) -> DataFrame:
     """All rows taking part in repeated keys (rows with a null key part included)."""
     columns = _checked(df, key_columns)
     # Structs compare field by field with null equal to null, which a plain equi-join is not.
@@ -137,4 +96,4 @@ def duplicate_rows(df: DataFrame, key_columns: Sequence[str], salts: int = SALTS
     groups = df.select(key).groupBy("__key").agg(F.count(F.lit(1)).alias("copies"))
     repeated = groups.where(F.col("copies") > 1).select("__key")
     rows = df.select(key, *[quoted(c) for c in df.columns])
-    return balanced_join(rows, repeated, ["__key"], "left_semi", salts).drop("__key")
+    return rows.join(repeated, "__key", "left_semi").drop("__key")

@@ -12,7 +12,7 @@ from crosstally.errors import ReconcileInputError
 from crosstally.functions.aggregates import exact, merge_single_rows, share_percent, sum_where
 from crosstally.functions.periods import as_timestamp, iso_text
 from crosstally.functions.predicates import apply_filters
-from crosstally.functions.types import column_class, quoted, require_columns
+from crosstally.functions.types import column_class, nan_is_null, quoted, require_columns
 from crosstally.operators.matching import restrict_to_unmatched
 
 IMPACT_COLUMNS = (
@@ -22,6 +22,7 @@ IMPACT_COLUMNS = (
 )
 
 
+@nan_is_null
 def business_impact(
     dataset: DataFrame,
     amount: str | None = None,

@@ -2,7 +2,7 @@
 
 Counts come from one tagged union grouped by key: both inputs are scanned once, only keys are
 shuffled, and repeated keys shrink before the shuffle. Whole unmatched rows come from an anti
-join that is safe for heavy keys.
+join against distinct keys, whose heavy side Spark's skew join splits.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from crosstally.functions.aggregates import (
     sum_where,
 )
 from crosstally.functions.columns import detail_columns
-from crosstally.functions.types import quoted, require_columns, require_key_pair
-from crosstally.operators.heavy import SALTS, balanced_join
+from crosstally.functions.types import nan_is_null, quoted, require_columns, require_key_pair
 
 # Fixed value: rows shown in a preview.
 PREVIEW_ROWS = 10
 
 
+@nan_is_null
 def key_counts(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
     """``key, rows_a, rows_b``: one row per key found on either side (null is one key)."""
     key_type = require_key_pair(a, b, key_a, key_b)
@@ -57,8 +57,11 @@ def match_measures(own: str, other: str, prefix: str = "") -> list[Column]:
     ]
 
 
-def match_report(prefix: str = "") -> dict[str, Column]:
-    """The reported match figures, read from :func:`match_measures` output."""
+def match_report(prefix: str = "", limit: int = PREVIEW_ROWS) -> dict[str, Column]:
+    """The reported match figures, read from :func:`match_measures` output.
+
+    ``limit`` is the size of the preview that the sample figures speak of.
+    """
     counts = (
         "eligible_record_count", "matched_count", "unmatched_count", "unmatched_unique_key_count",
         "null_key_count",
@@ -69,32 +72,37 @@ def match_report(prefix: str = "") -> dict[str, Column]:
         "unmatched_percentage": share_percent(
             report["unmatched_count"], report["eligible_record_count"]
         ),
-        "sample_is_complete": report["unmatched_unique_key_count"] <= PREVIEW_ROWS,
-        "sample_limit": F.lit(PREVIEW_ROWS),
+        "sample_is_complete": report["unmatched_unique_key_count"] <= limit,
+        "sample_limit": F.lit(limit),
     }
 
 
-def unmatched_summary(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
+@nan_is_null
+def unmatched_summary(
+    a: DataFrame, b: DataFrame, key_a: str, key_b: str, limit: int = PREVIEW_ROWS
+) -> DataFrame:
     """One row: how many rows and keys of ``a`` have no counterpart in ``b``."""
     measured = key_counts(a, b, key_a, key_b).agg(*match_measures("rows_a", "rows_b"))
-    return measured.select(*named(match_report()))
+    return measured.select(*named(match_report(limit=limit)))
 
 
-def unmatched_both_ways(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
+@nan_is_null
+def unmatched_both_ways(
+    a: DataFrame, b: DataFrame, key_a: str, key_b: str, limit: int = PREVIEW_ROWS
+) -> DataFrame:
     """Two rows, ``a_without_b`` and ``b_without_a``, from a single pass over both tables."""
     measured = key_counts(a, b, key_a, key_b).agg(
         *match_measures("rows_a", "rows_b", "a_"), *match_measures("rows_b", "rows_a", "b_")
     )
     return rows_from(
         measured,
-        [F.lit("a_without_b").alias("direction"), *named(match_report("a_"))],
-        [F.lit("b_without_a").alias("direction"), *named(match_report("b_"))],
+        [F.lit("a_without_b").alias("direction"), *named(match_report("a_", limit))],
+        [F.lit("b_without_a").alias("direction"), *named(match_report("b_", limit))],
     )
 
 
-def unmatched_rows(
-    a: DataFrame, b: DataFrame, key_a: str, key_b: str, salts: int = SALTS
-) -> DataFrame:
+@nan_is_null
+def unmatched_rows(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
     """All rows of ``a`` whose non-null key does not occur in ``b``; columns as in ``a``."""
     key_type = require_key_pair(a, b, key_a, key_b)
     rows = a.where(quoted(key_a).isNotNull()).withColumn("__key", quoted(key_a).cast(key_type))
@@ -103,11 +111,10 @@ def unmatched_rows(
         .select(quoted(key_b).cast(key_type).alias("__key"))
         .distinct()
     )
-    return balanced_join(rows, keys, ["__key"], "left_anti", salts).select(
-        *[quoted(c) for c in a.columns]
-    )
+    return rows.join(keys, "__key", "left_anti").select(*[quoted(c) for c in a.columns])
 
 
+@nan_is_null
 def unmatched_preview(
     a: DataFrame,
     b: DataFrame,
@@ -118,8 +125,8 @@ def unmatched_preview(
 ) -> DataFrame:
     """The first ``limit`` unmatched keys in key order, one row each, with context columns.
 
-    Where a key has several rows the one with the smallest details is shown. Keys are chosen
-    from the key counts, so only rows of the shown keys are looked up.
+    Where a key has several rows the one with the smallest details is shown, nulls last. Keys are
+    chosen from the key counts, so only rows of the shown keys are looked up.
     """
     wanted = detail_columns(a, key_a, details)
     keys = (
@@ -128,18 +135,21 @@ def unmatched_preview(
         .orderBy("key").limit(limit)
     )
     if not wanted:
-        return keys.select(F.col("key").alias(key_a))
+        return keys.orderBy("key").select(F.col("key").alias(key_a))
     key_type = keys.schema["key"].dataType
     rows = a.select(
         quoted(key_a).cast(key_type).alias("__key"),
         quoted(key_a).alias("__own_key"),
-        F.struct(*[quoted(c) for c in wanted]).alias("__details"),
+        F.struct(
+            *[x for i, c in enumerate(wanted) for x in (quoted(c).isNull().alias(f"n{i}"), quoted(c).alias(f"d{i}"))]
+        ).alias("__details"),
     )
     # Spark broadcasts the chosen keys by itself, as the limit bounds their number.
     shown = rows.join(keys.select(F.col("key").alias("__key")), "__key", "left_semi")
     first = shown.groupBy("__own_key").agg(F.min("__details").alias("__details"))
-    return first.select(
-        F.col("__own_key").alias(key_a), *[F.col("__details")[c].alias(c) for c in wanted]
+    return first.orderBy("__own_key").select(
+        F.col("__own_key").alias(key_a),
+        *[F.col("__details")[f"d{i}"].alias(c) for i, c in enumerate(wanted)],
     )
 
 

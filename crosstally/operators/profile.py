@@ -26,7 +26,7 @@ from crosstally.functions.columns import (
     is_id_name,
 )
 from crosstally.functions.periods import as_timestamp
-from crosstally.functions.types import column_class, quoted, type_class
+from crosstally.functions.types import column_class, nan_is_null, quoted, type_class
 from crosstally.operators.duplicates import find_duplicates, groupable
 
 # Thresholds of the profile rules.
@@ -67,9 +67,10 @@ def _distinct_counts(df: DataFrame, skipped: Collection[int] = ()) -> DataFrame:
 
     All columns are melted into (position, value) pairs with one typed slot per kind of value,
     so a single shuffle of de-duplicated narrow pairs serves every column, and a value that
-    fills a third of a column is one pair per task.
+    fills a third of a column is one pair per task. Texts are told apart by 128-bit hashes, so
+    that long ones are not shuffled.
     """
-    slots = {"numeric": "double", "long": "bigint", "text": "string"}
+    slots = {"numeric": "double", "long": "bigint", "text": "bigint", "more": "bigint"}
 
     def pair(position: int, field: T.StructField) -> Column:
         value, kind = quoted(field.name), type_class(field.dataType)
@@ -86,10 +87,16 @@ def _distinct_counts(df: DataFrame, skipped: Collection[int] = ()) -> DataFrame:
             slot, value = "text", value.cast("string")
         else:
             slot, value = "text", F.when(value.isNotNull(), F.to_json(F.struct(value.alias("v"))))
+        filled = {slot: value}
+        if slot == "text":
+            filled = {
+                name: F.when(value.isNotNull(), F.xxhash64(F.lit(n), value))
+                for n, name in enumerate(("text", "more"))
+            }
         return F.struct(
             F.lit(position).alias("position"),
             *[
-                (value if name == slot else F.lit(None).cast(spark_type)).alias(name)
+                filled.get(name, F.lit(None)).cast(spark_type).alias(name)
                 for name, spark_type in slots.items()
             ],
         )
@@ -117,6 +124,7 @@ def _is_date(df: DataFrame, column: str) -> Column:
     )
 
 
+@nan_is_null
 def profile_columns(
     df: DataFrame, dataset: str, distinct: str = "exact", scale: int | None = None
 ) -> DataFrame:
@@ -186,9 +194,10 @@ def profile_columns(
     )
 
 
-def profile_table(df: DataFrame, dataset: str, wide: bool | None = None) -> DataFrame:
+@nan_is_null
+def profile_table(df: DataFrame, dataset: str) -> DataFrame:
     """One row: ``dataset, row_count, duplicate_count`` (rows that take part in exact copies)."""
-    return find_duplicates(df, wide=wide).select(
+    return find_duplicates(df).select(
         F.lit(dataset).alias("dataset"), "row_count",
         F.col("duplicate_row_count").alias("duplicate_count"),
     )

@@ -1,4 +1,7 @@
-"""Shared keys between profiled datasets. Works on profiles only; no data is scanned."""
+"""Shared keys between profiled datasets, from their profiles alone.
+
+Profiles are joined to themselves: store them first, or their data is profiled twice.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +10,6 @@ from pyspark.sql import functions as F
 
 from crosstally.functions.columns import id_name_column
 
-# Fixed value: relationships the baseline follows.
-MOST_RELATIONSHIPS = 2
-
 # A cardinality seen from the other side.
 REVERSED_CARDINALITY = {
     "one_to_one": "one_to_one", "one_to_many": "many_to_one",
@@ -46,8 +46,11 @@ def relationships(profiles: DataFrame) -> DataFrame:
     )
 
 
-def choose_relationships(profiles: DataFrame, most: int = MOST_RELATIONSHIPS) -> DataFrame:
-    """The best key per dataset pair (most unique, then id-like, then by name), best pairs first."""
+def choose_relationships(profiles: DataFrame, most: int | None = None) -> DataFrame:
+    """The best key per dataset pair (most unique, then id-like, then by name), best pairs first.
+
+    All pairs, or the ``most`` best.
+    """
     def uniqueness(side: str) -> Column:
         rows = F.greatest(F.col(f"{side}.row_count"), F.lit(1))
         return F.col(f"{side}.unique_count") / rows
@@ -64,7 +67,9 @@ def choose_relationships(profiles: DataFrame, most: int = MOST_RELATIONSHIPS) ->
     best = pairs.groupBy(
         F.col("l.dataset").alias("left_dataset"), F.col("r.dataset").alias("right_dataset")
     ).agg(F.min(score).alias("score"), F.min(order).alias("position"))
-    chosen = best.orderBy("score", "position").limit(most)
+    chosen = best.orderBy("score", "position")
+    if most is not None:
+        chosen = chosen.limit(most)
     return chosen.select("left_dataset", "right_dataset", F.col("score.key").alias("key"))
 
 

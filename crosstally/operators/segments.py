@@ -18,12 +18,11 @@ from crosstally.functions.aggregates import (
 )
 from crosstally.functions.periods import as_timestamp, frequency_unit, period_label, period_start
 from crosstally.functions.predicates import apply_filters
-from crosstally.functions.types import common_type, quoted, require_columns
+from crosstally.functions.types import common_type, nan_is_null, quoted, require_columns
 from crosstally.operators.matching import restrict_to_unmatched
 
-# Size of a segment report.
+# Size of a segment report unless the caller says otherwise.
 DEFAULT_TOP = 20
-MOST_TOP = 100
 
 
 @dataclass(frozen=True)
@@ -78,6 +77,7 @@ def _labelled(
     return groups.select(*columns, "value", "record_count")
 
 
+@nan_is_null
 def segment_groups(
     rows: DataFrame,
     group_by: str | None,
@@ -98,6 +98,7 @@ def segment_groups(
     return _labelled(groups, group_by, date_column, date_frequency)
 
 
+@nan_is_null
 def segment_analysis(
     dataset: DataFrame,
     group_by: str | None,
@@ -133,7 +134,9 @@ def segment_analysis(
     )
     groups = _labelled(found, group_by, date_column, date_frequency)
     keys = [quoted(c) for c in groups.columns if c not in ("value", "record_count")]
-    limit = min(max(int(top_n), 1), MOST_TOP)
+    if top_n < 1:
+        raise ReconcileInputError("top_n must be 1 or more")
+    limit = int(top_n)
     top = groups.orderBy(
         F.abs("value").desc_nulls_last(), *[k.asc_nulls_last() for k in keys]
     ).limit(limit)
@@ -151,6 +154,7 @@ def segment_analysis(
     return SegmentResult(groups, top, summary)
 
 
+@nan_is_null
 def paired_segments(
     a: DataFrame,
     b: DataFrame,
@@ -180,6 +184,7 @@ def paired_segments(
     return totals.withColumn("difference", F.round(F.col("value_a") - F.col("value_b"), 6))
 
 
+@nan_is_null
 def localize_segment(
     a: DataFrame,
     b: DataFrame,

@@ -1,7 +1,7 @@
 """The fixed set of checks run on a pair of tables before anything else is asked.
 
 Counts, unmatched keys in both directions, exact duplicates on both sides and row comparison
-always run; value comparison for up to three differing numeric columns, and impact for each
+always run; value comparison for every differing numeric column, and impact for each
 direction with unmatched rows. Sums, segments and the bridge are left to the caller.
 
 All key-based checks are aggregates over one alignment of the two tables: one scan of each, one
@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstally.errors import ReconcileInputError
@@ -41,9 +41,7 @@ from crosstally.operators.profile import (
 from crosstally.operators.relationships import choose_relationships
 from crosstally.plans.evidence import EVIDENCE_COLUMNS, HEADLINES, evidence_entry, ledger
 from crosstally.sources.registry import DatasetRegistry
-
-# Fixed value: value comparisons per pair.
-MOST_VALUE_CHECKS = 3
+from crosstally.sources.writers import materialize
 
 
 @dataclass(frozen=True)
@@ -72,7 +70,7 @@ def impact_columns(profile: DataFrame) -> ImpactColumns:
 
 def _key_checks(
     a: DataFrame, b: DataFrame, key: str, name_a: str, name_b: str, pair: str, scale: int | None,
-    question: str, start: int,
+    question: str, start: int, most_values: int | None,
 ) -> DataFrame:
     """Count, unmatched, row and value evidence from one aggregate over the aligned tables."""
     shared = shared_columns(a, b, key)
@@ -157,14 +155,14 @@ def _key_checks(
                 f"{column} differs on %s of %s uniquely matched keys",
                 figures["value_mismatch_count"], figures["matched_unique_key_count"],
             ),
-            differs & (earlier < MOST_VALUE_CHECKS),
+            differs if most_values is None else differs & (earlier < most_values),
         )
         earlier = earlier + differs.cast("int")
     return rows_from(measured, *entries).where("keep").select(*EVIDENCE_COLUMNS)
 
 
-def _duplicate_check(df: DataFrame, name: str, pair: str, seq: int, wide: bool | None) -> DataFrame:
-    found = find_duplicates(df, wide=wide)
+def _duplicate_check(df: DataFrame, name: str, pair: str, seq: int) -> DataFrame:
+    found = find_duplicates(df)
     names = [c for c in found.columns if c != "checked_columns"]
     return found.select(
         *evidence_entry(
@@ -210,18 +208,21 @@ def baseline_checks(
     impact_b: ImpactColumns = ImpactColumns(),
     scale: int | None = None,
     question: str = "",
-    wide: bool | None = None,
+    most_values: int | None = None,
     first: int = 0,
 ) -> DataFrame:
-    """The checks of one pair, not numbered yet; ``first`` shifts their place in the run."""
+    """The checks of one pair, not numbered yet; ``first`` shifts their place in the run.
+
+    ``most_values`` bounds the value comparisons shown, by default all differing columns.
+    """
     require_columns(a, [key], name_a)
     require_columns(b, [key], name_b)
     pair = f"{name_a}|{name_b}"
     after_values = first + 7 + len(a.columns)
     checks = [
-        _key_checks(a, b, key, name_a, name_b, pair, scale, question, first),
-        _duplicate_check(a, name_a, pair, first + 4, wide),
-        _duplicate_check(b, name_b, pair, first + 5, wide),
+        _key_checks(a, b, key, name_a, name_b, pair, scale, question, first, most_values),
+        _duplicate_check(a, name_a, pair, first + 4),
+        _duplicate_check(b, name_b, pair, first + 5),
         _impact_check(a, b, key, name_a, name_b, impact_a, pair, after_values, scale),
         _impact_check(b, a, key, name_b, name_a, impact_b, pair, after_values + 1, scale),
     ]
@@ -233,31 +234,49 @@ def baseline_evidence(a: DataFrame, b: DataFrame, key: str, *arguments, **option
     return ledger(baseline_checks(a, b, key, *arguments, **options))
 
 
+def _failed(spark: SparkSession, pair: str, left: str, right: str, seq: int, reason: str) -> DataFrame:
+    """The ledger row of a pair whose checks cannot be built."""
+    return spark.range(1).select(
+        *evidence_entry(
+            pair, seq, "check_failed", {"dataset_a": left, "dataset_b": right}, left, right,
+            HEADLINES["check_failed"], F.lit(1), F.lit(f"not checked: {reason}"),
+            {"dataset_a": F.lit(left), "dataset_b": F.lit(right), "reason": F.lit(reason)},
+        )
+    )
+
+
 def reconcile(
     datasets: DatasetRegistry, question: str = "", scale: int | None = None,
-    distinct: str = "exact",
+    distinct: str = "exact", most_pairs: int | None = None, most_values: int | None = None,
 ) -> DataFrame:
-    """Profile all datasets, pick the likely shared keys, and run the baseline on each pair.
+    """Profile all datasets once, pick the likely shared keys, and run the baseline on each pair.
 
-    Which checks to build depends on a few names from the profiles (at most two keys and three
-    columns per dataset); only those reach the driver.
+    The profiles (one row per column) are stored and read from there; only names of keys and
+    columns reach the driver. A pair that cannot be checked gets a ``check_failed`` row and the others go
+    on; datasets without a shared identifier give an empty ledger.
     """
     if not len(datasets):
         raise ReconcileInputError("no datasets to reconcile")
-    profiles = {n: profile_columns(df, n, distinct, scale) for n, df in datasets.items()}
-    chosen = choose_relationships(stack_profiles(list(profiles.values()))).collect()
-    if not chosen:
-        raise ReconcileInputError("the datasets share no identifier; give the key explicitly")
-    used = {n for r in chosen for n in (r["left_dataset"], r["right_dataset"])}
-    roles = {n: impact_columns(profiles[n]) for n in used}
-    checks, first = [], 0
+    profiles = materialize(
+        stack_profiles([profile_columns(df, n, distinct, scale) for n, df in datasets.items()]),
+        "profiles",
+    )
+    chosen = choose_relationships(profiles, most_pairs).collect()
+    used = sorted({n for r in chosen for n in (r["left_dataset"], r["right_dataset"])})
+    roles = {n: impact_columns(profiles.where(F.col("dataset") == n)) for n in used}
+    spark, checks, first = profiles.sparkSession, [], 0
     for left, right, key in chosen:
         a, b = datasets[left], datasets[right]
-        checks.append(
-            baseline_checks(
-                a, b, key, left, right, roles[left], roles[right], scale, question, first=first
+        try:
+            found = baseline_checks(
+                a, b, key, left, right, roles[left], roles[right], scale, question, most_values, first
             )
-        )
+        except ReconcileInputError as error:
+            found = _failed(spark, f"{left}|{right}", left, right, first, str(error))
+        checks.append(found)
         first += 10 + len(a.columns)
-    # A dataset that is part of two pairs is checked for duplicates once.
+    if not checks:
+        checks = [_failed(spark, "", "", "", 0, "").where("false")]
+    # A dataset that is part of two pairs is checked for duplicates once. All pairs are one run: its rows
+    # follow from the number of datasets and columns, not from their data.
     return ledger(*checks, run=None)

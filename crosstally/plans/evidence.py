@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crosstally.functions.text import call_signature, canonical_json
-from crosstally.operators.heavy import balanced_join
 from crosstally.operators.relationships import with_cardinality
 
 # The headline figure of each check.
@@ -22,7 +21,8 @@ HEADLINES = {
     "compare_record_values": "value_mismatch_count",
     "compare_rows_by_key": "record_mismatch_count",
     "find_duplicates": "duplicate_row_count",
-    "find_duplicates_by_key": "repeated_key_record_count",
+    "find_duplicates_by_key": "duplicate_row_count",
+    "check_failed": "failed",
     "segment_analysis": "filtered_record_count",
     "reconcile_record_set_contributions": "net_difference_a_minus_b",
     "calculate_business_impact": "affected_record_count",
@@ -139,13 +139,11 @@ def check_citations(verdicts: DataFrame, citations: DataFrame, known: DataFrame)
     ACCEPT without a valid citation becomes REJECT with capped confidence.
     """
     ids = known.select("evidence_id").distinct().withColumn("is_known", F.lit(True))
-    # One id may be cited by very many cases, so this join is balanced by hand.
-    cited = balanced_join(
-        citations.select("case_id", "evidence_id").distinct(), ids, ["evidence_id"], "left"
-    )
+    # Joined before anything is made distinct: one shuffle by id, whose heavy side Spark can split.
+    cited = citations.select("case_id", "evidence_id").join(ids, "evidence_id", "left")
     counts = cited.groupBy("case_id").agg(
-        F.count_if(F.col("is_known")).alias("valid"),
-        F.count_if(F.col("is_known").isNull()).alias("rejected"),
+        F.count_distinct(F.when(F.col("is_known"), F.col("evidence_id"))).alias("valid"),
+        F.count_distinct(F.when(F.col("is_known").isNull(), F.struct("evidence_id"))).alias("rejected"),
     )
     checked = verdicts.join(counts, "case_id", "left").select(
         "case_id", "verdict", "confidence",

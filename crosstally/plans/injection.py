@@ -16,8 +16,6 @@ from crosstally.functions.aggregates import exact
 from crosstally.functions.periods import as_timestamp, iso_text
 from crosstally.functions.types import quoted, require_columns
 
-MOST_PICKED = 100_000
-
 
 def pick_rows(
     df: DataFrame,
@@ -34,8 +32,8 @@ def pick_rows(
     chosen = df.where(where)
     if count is None:
         return chosen
-    if not 0 <= count <= MOST_PICKED or not order_by:
-        raise ReconcileInputError(f"count needs order_by and must lie in 0..{MOST_PICKED}")
+    if count < 0 or not order_by:
+        raise ReconcileInputError("count needs order_by and must not be negative")
     require_columns(df, order_by)
     order = [quoted(c).desc_nulls_last() if last else quoted(c).asc_nulls_first() for c in order_by]
     return chosen.orderBy(*order).limit(count)
@@ -56,7 +54,7 @@ def inject_drift(
 ) -> DataFrame:
     """``amount`` added to ``metric`` on the picked keys."""
     marked = df.join(
-        picked.select(quoted(key).alias("__picked")), quoted(key) == F.col("__picked"), "left"
+        picked.select(quoted(key).alias("__picked")).distinct(), quoted(key) == F.col("__picked"), "left"
     )
     moved = quoted(metric) + F.lit(amount)
     if scale is not None:

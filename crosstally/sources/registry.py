@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from crosstally.errors import ReconcileInputError
+from crosstally.functions.types import nan_to_null
 from crosstally.sources.readers import read_csv, read_parquet
 
 
@@ -20,7 +21,7 @@ class DatasetRegistry:
     def add(self, name: str, df: DataFrame, view: bool = False) -> DataFrame:
         if name in self._frames:
             raise ReconcileInputError(f"dataset name used twice: {name}")
-        self._frames[name] = df
+        df = self._frames[name] = nan_to_null(df)
         if view:
             df.createOrReplaceTempView(name)
         return df

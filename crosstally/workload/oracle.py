@@ -394,7 +394,7 @@ _EXTRA_ROWS = f"""SELECT order_id AS key, extra AS extra_copy_count, total_amoun
     round(total_amount * extra, 6) AS extra_metric_sum, {", ".join(CONTEXT)} FROM extra_b"""
 ORACLE["bridge_extra_copies"] = over(_EXTRA_ROWS, **BRIDGE_TABLES)
 ORACLE["bridge_extra_copies_preview"] = over(
-    _EXTRA_ROWS + f" ORDER BY order_id, total_amount NULLS FIRST, {', '.join(CONTEXT)} LIMIT 10",
+    _EXTRA_ROWS + f" ORDER BY order_id, total_amount NULLS LAST, {', '.join(CONTEXT)} LIMIT 10",
     **BRIDGE_TABLES,
 )
 
@@ -606,7 +606,7 @@ ORACLE["relationship_choice"] = over(
                 THEN 0 ELSE 1 END AS name_rank
         FROM profile l JOIN profile r ON l."column" = r."column" AND l.dataset_order < r.dataset_order
         WHERE l.is_identifier AND r.is_identifier))
-WHERE rn = 1 ORDER BY score, name_rank, lower(key), lo, ro LIMIT 2""",
+WHERE rn = 1 ORDER BY score, name_rank, lower(key), lo, ro""",
     **PROFILE,
 )
 ORACLE["quality_review"] = over(

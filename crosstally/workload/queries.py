@@ -22,9 +22,9 @@ from crosstally.operators import segments
 from crosstally.plans import evidence as ev
 from crosstally.plans import injection, scoring
 from crosstally.plans.baseline import ImpactColumns, baseline_evidence, reconcile
-from crosstally.sources.readers import read_csv
+from crosstally.sources.readers import read_csv, read_json
 from crosstally.sources.registry import DatasetRegistry
-from crosstally.sources.writers import shared_folder, write_csv, write_json
+from crosstally.sources.writers import materialize, shared_folder, write_csv, write_json
 from crosstally.workload import cases
 from crosstally.workload.frames import (
     is_drifted, is_duplicated, is_missing, src, src_nulls, table, wh_drift, wh_dup, wh_missing,
@@ -71,7 +71,7 @@ def csv_with_schema(spark, sf_dir):
 def json_round_trip(spark, sf_dir):
     orders, path = wh_nulls(spark, sf_dir), _folder(spark, "orders.json")
     write_json(orders, path)
-    return spark.read.schema(orders.schema).json(path)
+    return read_json(spark, path, orders.schema)
 
 
 # Filters -------------------------------------------------------------------------------------
@@ -220,8 +220,8 @@ def unmatched_preview_repeated_keys(spark, sf_dir):
 
 # Duplicates ----------------------------------------------------------------------------------
 
-def _duplicates(df, key_columns=None, wide=None):
-    found = duplicates.find_duplicates(df, key_columns, wide)
+def _duplicates(df, key_columns=None):
+    found = duplicates.find_duplicates(df, key_columns)
     return _round(
         found.withColumn("checked_columns", F.concat_ws(",", "checked_columns")),
         "duplicate_percentage",
@@ -245,7 +245,7 @@ def dup_repeated_key(spark, sf_dir):
 
 @query
 def dup_document_text(spark, sf_dir):
-    return _duplicates(table(spark, sf_dir, "documents"), ["text"], wide=True)
+    return _duplicates(table(spark, sf_dir, "documents"), ["text"])
 
 
 @query
@@ -498,6 +498,11 @@ def _renamed(spark, sf_dir) -> dict[str, DataFrame]:
     return {"orders": wh_mixed(spark, sf_dir), "lineitem": lineitem, "customer": customer}
 
 
+def _stored_profiles(spark, sf_dir) -> DataFrame:
+    """Profiled once, however often the profile is read."""
+    return materialize(_profiles(spark, sf_dir), "profiles")
+
+
 def _profiles(spark, sf_dir) -> DataFrame:
     frames = {**_renamed(spark, sf_dir), "events": table(spark, sf_dir, "events")}
     return profile.stack_profiles(
@@ -538,17 +543,17 @@ def amount_columns(spark, sf_dir):
 
 @query
 def relationships(spark, sf_dir):
-    return related.relationships(_profiles(spark, sf_dir))
+    return related.relationships(_stored_profiles(spark, sf_dir))
 
 
 @query
 def relationship_choice(spark, sf_dir):
-    return related.choose_relationships(_profiles(spark, sf_dir))
+    return related.choose_relationships(_stored_profiles(spark, sf_dir))
 
 
 @query
 def relationship_lines(spark, sf_dir):
-    return related.relationship_lines(related.relationships(_profiles(spark, sf_dir)))
+    return related.relationship_lines(related.relationships(_stored_profiles(spark, sf_dir)))
 
 
 @query

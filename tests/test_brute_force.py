@@ -53,7 +53,7 @@ def test_unmatched(sides):
     assert found["unmatched_count"] == len(lost)
     assert found["unmatched_unique_key_count"] == len(keys(lost))
     assert found["null_key_count"] == sum(r[0] is None for r in a)
-    assert unordered(matching.unmatched_rows(df_a, df_b, "k", "k", salts=4)) == sorted(lost, key=repr)
+    assert unordered(matching.unmatched_rows(df_a, df_b, "k", "k")) == sorted(lost, key=repr)
 
 
 @pytest.mark.parametrize("columns", [None, ["k"], ["c", "v"]])
@@ -61,10 +61,9 @@ def test_duplicates(sides, columns):
     a, _, df_a, _ = sides
     places = [["k", "v", "c"].index(c) for c in columns or ["k", "v", "c"]]
     counts = Counter(tuple(r[i] for i in places) for r in a)
-    for wide in (False, True):
-        found = one(duplicates.find_duplicates(df_a, columns, wide=wide))
-        assert found["duplicate_row_count"] == sum(n for n in counts.values() if n > 1)
-        assert found["row_count"] == len(a)
+    found = one(duplicates.find_duplicates(df_a, columns))
+    assert found["duplicate_row_count"] == sum(n for n in counts.values() if n > 1)
+    assert found["row_count"] == len(a)
     rows = unordered(duplicates.duplicate_rows(df_a, columns or ["k", "v", "c"]))
     assert rows == sorted((r for r in a if counts[tuple(r[i] for i in places)] > 1), key=repr)
 

@@ -90,17 +90,6 @@ def test_drift(frame):
     assert found["compare_rows_by_key", "left"] == 1 and found["compare_record_values", "left"] == 1
 
 
-def test_at_most_three_value_checks(frame):
-    schema = "id long, a double, b double, c double, d double, e string"
-    left = frame(schema, (1, 1.0, 1.0, 1.0, 1.0, "x"), (2, 1.0, 1.0, 1.0, 1.0, "x"))
-    right = frame(schema, (1, 1.0, 2.0, 2.0, 2.0, "y"), (2, 1.0, 2.0, 2.0, 2.0, "x"))
-    found = baseline_evidence(left, right, "id", "l", "r").where("tool = 'compare_record_values'").collect()
-    assert sorted(json.loads(r["details"])["value_column_a"] for r in found) == ["b", "c", "d"]
-    wider = frame(schema, (1, 1.0, 2.0, 1.0, 2.0, "y"), (2, 1.0, 2.0, 1.0, 2.0, "x"))
-    found = baseline_evidence(left, wider, "id", "l", "r").where("tool = 'compare_record_values'").collect()
-    assert sorted(json.loads(r["details"])["value_column_a"] for r in found) == ["b", "d"]
-
-
 def test_one_to_many(frame):
     entities = frame("record_id string, status string, created_at string",
                      ("A", "Complete", "2024-01-01"), ("B", "Complete", "2024-01-02"), ("C", "Complete", "2024-01-03"))
@@ -141,8 +130,25 @@ def test_impact_columns(orders):
 def test_nothing_to_reconcile(frame):
     with pytest.raises(ReconcileInputError):
         reconcile(DatasetRegistry())
-    with pytest.raises(ReconcileInputError):
-        reconcile(registry(a=frame("x long", (1,), (1,)), b=frame("y long", (1,), (1,))))
+    assert reconcile(registry(a=frame("x long", (1,), (1,)), b=frame("y long", (1,), (1,)))).count() == 0
+
+
+def test_a_pair_that_cannot_be_checked_leaves_a_row(frame):
+    """x and y share a number, z holds it as text: two pairs fail, one is checked."""
+    x, y = frame("id long, v double", (1, 1.0), (2, 1.0)), frame("id long, v double", (1, 1.0), (3, 1.0))
+    z = frame("id string, v double", ("1", 1.0), ("2", 1.0))
+    found = reconcile(registry(x=x, y=y, z=z)).collect()
+    failed = [r for r in found if r["tool"] == "check_failed"]
+    assert sorted(r["pair"] for r in failed) == ["x|z", "y|z"] and all("types differ" in r["finding"] for r in failed)
+    assert {r["pair"] for r in found} == {"x|y", "x|z", "y|z"}
+
+
+def test_every_differing_column_gets_a_value_check(frame):
+    schema = "id long, " + ", ".join(f"v{i} double" for i in range(6))
+    left, right = frame(schema, (1, *[1.0] * 6)), frame(schema, (1, *[2.0] * 6))
+    found = baseline_evidence(left, right, "id", "l", "r").where("tool = 'compare_record_values'")
+    assert found.count() == 6
+    assert baseline_evidence(left, right, "id", "l", "r", most_values=2).where("tool = 'compare_record_values'").count() == 2
 
 
 def test_reconcile_files(spark, tmp_path, orders, payments):

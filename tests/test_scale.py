@@ -6,8 +6,7 @@ import pytest
 from conftest import one
 from pyspark.sql import functions as F
 
-from crosstally.operators import bridge, compare, duplicates, matching
-from crosstally.operators.heavy import balanced_join, heavy_key_hashes
+from crosstally.operators import bridge, compare, duplicates, impact, matching, segments
 
 
 @pytest.fixture(scope="module")
@@ -24,42 +23,17 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().toString()
 
 
-def test_heavy_keys_are_found(skewed):
-    expected = skewed.where("k = 7 or k is null").select(F.xxhash64("k")).distinct()
-    assert sorted(heavy_key_hashes(skewed, ["k"])) == sorted(r[0] for r in expected.collect())
-    assert heavy_key_hashes(skewed.limit(0), ["k"]) == []
-    assert heavy_key_hashes(skewed.where("k > 7"), ["k"]) == []
-
-
-def test_without_heavy_keys_the_join_is_plain(skewed):
-    lookup = skewed.select("k").distinct()
-    joined = balanced_join(skewed.where("k > 7"), lookup, ["k"], "left_anti")
-    assert "salt" not in plan_of(joined)
-    assert "salt" in plan_of(balanced_join(skewed, lookup, ["k"], "left_anti"))
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_balanced_join_equals_plain_join(spark, skewed, how):
-    lookup = spark.createDataFrame([(7, "seven"), (8, "eight"), (11, "eleven"), (-1, "none")], "k long, name string")
-    balanced = balanced_join(skewed, lookup, ["k"], how, salts=8)
-    plain = balanced_join(skewed, lookup, ["k"], how, salts=0)
-    count = lambda df: sorted(map(tuple, df.groupBy(*df.columns).count().collect()), key=repr)
-    assert balanced.columns == plain.columns
-    assert count(balanced) == count(plain)
-
-
-def test_heavy_rows_are_spread(spark, skewed):
-    """No shuffle partition of the anti join holds the heavy key alone."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        absent = spark.range(100).select((-F.col("id") - 1).alias("k"))
-        left = balanced_join(skewed.where("k is not null"), absent, ["k"], "left_anti", salts=64)
-        sizes = [r["n"] for r in left.where("k = 7").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
-        assert sum(sizes) == 10_000 and max(sizes) <= 7_500 and len(sizes) > 1
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
+def test_no_job_runs_before_the_result_is_asked_for(spark, skewed):
+    other = spark.range(8, 30_000).select(F.col("id").alias("k"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build", "build")
+    matching.unmatched_rows(skewed, other, "k", "k")
+    duplicates.duplicate_rows(skewed, ["k", "c"])
+    duplicates.find_duplicates(skewed)
+    segments.segment_analysis(skewed, "c", "v", "sum", match_against=other, local_key="k", other_key="k", only_unmatched=True)
+    impact.business_impact(skewed, "v", None, "c", None, other, "k", "k", True)
+    assert not tracker.getJobIdsForGroup("build")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_unmatched_rows_keep_every_row_of_a_heavy_key(spark, skewed):
@@ -72,9 +46,9 @@ def test_unmatched_rows_keep_every_row_of_a_heavy_key(spark, skewed):
 
 
 def test_copies_on_skew(skewed):
-    narrow = one(duplicates.find_duplicates(skewed, wide=False))
-    wide = one(duplicates.find_duplicates(skewed, wide=True))
-    assert narrow == wide and narrow["row_count"] == 30_000
+    found = one(duplicates.find_duplicates(skewed))
+    exact = skewed.groupBy(*skewed.columns).count().where("count > 1").agg(F.sum("count")).first()[0]
+    assert found["row_count"] == 30_000 and found["duplicate_row_count"] == exact
     rows = duplicates.duplicate_rows(skewed, ["k", "c"])
     assert rows.count() == 20_000
 

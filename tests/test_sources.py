@@ -5,7 +5,8 @@ from conftest import rows, unordered
 from pyspark.sql import types as T
 
 from crosstally.errors import ReconcileInputError
-from crosstally.sources.readers import nan_to_null, read_csv, read_json, read_parquet
+from crosstally.functions.types import nan_to_null
+from crosstally.sources.readers import read_csv, read_json, read_parquet
 from crosstally.sources.registry import DatasetRegistry
 from crosstally.sources.writers import (
     materialize, shared_folder, write_csv, write_json, write_parquet,
@@ -55,14 +56,14 @@ def test_sinks_round_trip(spark, tmp_path, orders):
     expected = unordered(orders)
     assert unordered(read_csv(spark, str(tmp_path / "o.csv"))) == expected
     assert unordered(read_parquet(spark, str(tmp_path / "o.parquet"))) == expected
-    assert unordered(spark.read.json(str(tmp_path / "o.json"), schema=orders.schema)) == expected
+    assert unordered(read_json(spark, str(tmp_path / "o.json"), orders.schema)) == expected
     assert read_parquet(spark, str(tmp_path / "o.parquet"), ["amount"]).columns == ["amount"]
 
 
 def test_manifest(spark, tmp_path):
     path = tmp_path / "truth.json"
     path.write_text('{\n "case_id": "x",\n "datasets": ["a", "b"]\n}\n', encoding="utf-8")
-    assert rows(read_json(spark, str(path))) == [("x", ["a", "b"])]
+    assert rows(read_json(spark, str(path), multi_line=True)) == [("x", ["a", "b"])]
 
 
 def test_nan_is_null(frame):
@@ -111,3 +112,29 @@ def test_csv_keeps_quotes_breaks_and_microseconds(spark, tmp_path, frame):
     write_json(df, str(tmp_path / "text.json"))
     assert unordered(read_csv(spark, str(tmp_path / "text.csv"), df.schema, multi_line=True)) == unordered(df)
     assert unordered(spark.read.schema(df.schema).json(str(tmp_path / "text.json"))) == unordered(df)
+
+
+def test_json_of_many_lines_and_files_comes_back_whole(spark, tmp_path):
+    df = spark.range(0, 100, 1, 2).withColumnRenamed("id", "k")
+    write_json(df, str(tmp_path / "many.json"))
+    assert unordered(read_json(spark, str(tmp_path / "many.json"))) == [(i,) for i in sorted(range(100), key=lambda i: repr((i,)))]
+
+
+def test_csv_numerals(spark, tmp_path):
+    """Java's number suffixes are texts, and whole numbers beyond a long stay apart."""
+    text = "a,b,c,d\n1D,12345678901234567890,1e3,12345678901234567890\n1F,12345678901234567891,.5,1.5\n"
+    df = read_csv(spark, csv(tmp_path, text))
+    assert [f.dataType.simpleString() for f in df.schema] == ["string", "decimal(38,0)", "double", "string"]
+    assert df.select("b").distinct().count() == 2
+
+
+def test_csv_unnamed_column(spark, tmp_path):
+    df = read_csv(spark, csv(tmp_path, ",id,amount\n0,a,1.5\n1,b,2.5\n"))
+    assert df.columns == ["column_1", "id", "amount"] and unordered(df) == [(0, "a", 1.5), (1, "b", 2.5)]
+
+
+def test_csv_schema_must_be_met(spark, tmp_path):
+    path = csv(tmp_path, "id,amount\n1,2.5\n")
+    with pytest.raises(ReconcileInputError, match="lacks column"):
+        read_csv(spark, path, T.StructType().add("id", "long").add("price", "double"))
+    assert unordered(read_csv(spark, path, T.StructType().add("id", "long"))) == [(1, "2.5")]
