@@ -116,11 +116,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, h, start, length, words, first_doc_id, first_start: runs of later copies of chunks."""
     cut = stored(chunks(docs), "chunks")
     place = F.struct("doc_id", "h", "nth")
-    repeated = (
-        cut.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where("first <> last").select("d1", "d2", "first")
-    )
-    later = cut.join(repeated, ["d1", "d2"]).where(place > F.col("first")).select(
+    # Counting moves digests alone; places follow only for the chunks that repeat.
+    repeated = cut.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2")
+    copies = stored(cut.join(repeated, ["d1", "d2"]), "copies")
+    first = copies.groupBy("d1", "d2").agg(F.min(place).alias("first"))
+    later = copies.join(first, ["d1", "d2"]).where(place > F.col("first")).select(
         "doc_id", "h", "nth", "start", "length", "words", "first"
     )
     # Rows equal in id and text give equal rows here; they are one document.
