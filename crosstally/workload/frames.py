@@ -111,6 +111,11 @@ def wh_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inject_duplicates(rows, rows.where(is_duplicated()))
 
 
+def nan_for_null(df: DataFrame) -> DataFrame:
+    """Amounts that are not known, as NaN."""
+    return df.withColumn("total_amount", F.coalesce("total_amount", F.lit(float("nan"))))
+
+
 def src_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source with the same lost priorities, so that null context must match null context."""
     return blank_values(src(spark, sf_dir), lost_priority(), "order_priority")

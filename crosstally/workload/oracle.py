@@ -904,3 +904,35 @@ ORACLE["text_whole_words"] = """SELECT conv_id, turn, normal,
     contains(' ' || normal || ' ', ' the ') AS has_the
 FROM (SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS normal
       FROM conversations)"""
+
+# Awkward input gives what plain input gives ------------------------------------------------------
+
+ORACLE["csv_awkward"] = """SELECT o_orderkey AS column_1,
+    '123456789012' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS big,
+    o_orderkey || 'D' AS code, CAST(o_totalprice AS DOUBLE) AS amount FROM orders"""
+ORACLE["segment_topk_large"] = over(
+    segments("src", "customer_id", money_sum("total_amount"))
+    + " ORDER BY abs(value) DESC, customer_id LIMIT 400"
+)
+ORACLE["segment_nan"] = ORACLE["segment_sum"]
+ORACLE["segment_offset_times"] = ORACLE["segment_day"]
+ORACLE["values_nan"] = ORACLE["values_numeric"]
+ORACLE["bridge_nan"] = ORACLE["bridge_summary"]
+
+
+def _pair_checks(a: str, b: str, sql_a: str, sql_b: str) -> str:
+    def lost(name: str, own: str, other: str) -> str:
+        return f"""SELECT '{a}|{b}', 'find_unmatched_records', '{name}',
+    CAST((SELECT count(DISTINCT k) FROM ({own}) WHERE k IS NOT NULL AND k NOT IN
+        (SELECT k FROM ({other}) WHERE k IS NOT NULL)) AS DOUBLE)"""
+
+    return f"""SELECT '{a}|{b}' AS pair, 'compare_aggregates' AS tool, '{a}' AS dataset_a,
+    CAST(abs((SELECT count(*) FROM ({sql_a})) - (SELECT count(*) FROM ({sql_b}))) AS DOUBLE) AS value
+UNION ALL {lost(a, sql_a, sql_b)} UNION ALL {lost(b, sql_b, sql_a)}"""
+
+
+ORACLE["baseline_many_pairs"] = over(
+    _pair_checks("orders", "lineitem", "SELECT order_id AS k FROM wh_mixed", "SELECT l_orderkey AS k FROM lineitem")
+    + " UNION ALL "
+    + _pair_checks("orders", "customer", "SELECT customer_id AS k FROM wh_mixed", "SELECT c_custkey AS k FROM customer")
+)

@@ -27,7 +27,7 @@ from crosstally.sources.registry import DatasetRegistry
 from crosstally.sources.writers import materialize, shared_folder, write_csv, write_json
 from crosstally.workload import cases
 from crosstally.workload.frames import (
-    is_drifted, is_duplicated, is_missing, src, src_nulls, table, wh_drift, wh_dup, wh_missing,
+    is_drifted, is_duplicated, is_missing, nan_for_null, src, src_nulls, table, wh_drift, wh_dup, wh_missing,
     wh_mixed, wh_nulls,
 )
 
@@ -74,6 +74,18 @@ def json_round_trip(spark, sf_dir):
     return read_json(spark, path, orders.schema)
 
 
+@query
+def csv_awkward(spark, sf_dir):
+    """An unnamed column, whole numbers beyond a long, and texts that look like Java numbers."""
+    key, path = F.col("order_id"), _folder(spark, "awkward.csv")
+    orders = src(spark, sf_dir).select(
+        key.alias(""), F.concat(F.lit("123456789012"), F.lpad(key.cast("string"), 10, "0")).alias("big"),
+        F.concat(key.cast("string"), F.lit("D")).alias("code"), F.col("total_amount").alias("amount"),
+    )
+    write_csv(orders, path)
+    return read_csv(spark, path).withColumn("big", F.col("big").cast("string"))
+
+
 # Filters -------------------------------------------------------------------------------------
 
 def _filtered(spark: SparkSession, sf_dir: str, *conditions: dict) -> DataFrame:
@@ -274,6 +286,14 @@ def values_numeric(spark, sf_dir):
     return _values(spark, sf_dir, "total_amount", 0.0)
 
 
+@query
+def values_nan(spark, sf_dir):
+    found = compare.compare_values(
+        src(spark, sf_dir), nan_for_null(wh_mixed(spark, sf_dir)), *KEY, "total_amount", "total_amount", 0.0, MONEY
+    )
+    return _round(found, "value_mismatch_percentage")
+
+
 @query
 def values_numeric_tolerance(spark, sf_dir):
     return _values(spark, sf_dir, "total_amount", 20.0)
@@ -326,6 +346,13 @@ def bridge_summary(spark, sf_dir):
     )
 
 
+@query
+def bridge_nan(spark, sf_dir):
+    return bridge.bridge_summary(
+        src_nulls(spark, sf_dir), nan_for_null(wh_mixed(spark, sf_dir)), *KEY, *METRICS, scale=MONEY
+    )
+
+
 @query
 def bridge_table(spark, sf_dir):
     table_ = bridge.bridge_table(bridge_summary(spark, sf_dir))
@@ -434,6 +461,30 @@ def segment_topk(spark, sf_dir):
     ).top
 
 
+@query
+def segment_topk_large(spark, sf_dir):
+    return segments.segment_analysis(
+        src(spark, sf_dir), "customer_id", "total_amount", "sum", top_n=400, scale=MONEY
+    ).top
+
+
+@query
+def segment_nan(spark, sf_dir):
+    return segments.segment_groups(
+        nan_for_null(wh_nulls(spark, sf_dir)), "order_priority", "total_amount", "sum", scale=MONEY
+    )
+
+
+@query
+def segment_offset_times(spark, sf_dir):
+    """The same moments written five hours east of UTC fall into the same days."""
+    local = F.date_format(F.col("ts") + F.expr("INTERVAL 5 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    events = table(spark, sf_dir, "events").withColumn("ts", F.concat(local, F.lit("+05:00")))
+    return segments.segment_groups(
+        events, None, "value", "sum", date_column="ts", date_frequency="D", scale=MONEY
+    )
+
+
 @query
 def segment_paired(spark, sf_dir):
     return segments.paired_segments(
@@ -592,6 +643,18 @@ def baseline_with_inferred_key(spark, sf_dir):
     return _evidence_report(reconcile(datasets, scale=MONEY))
 
 
+@query
+def baseline_many_pairs(spark, sf_dir):
+    """Every pair of tables that shares a key is checked: counts and unmatched keys of each."""
+    datasets = DatasetRegistry()
+    for name, df in _renamed(spark, sf_dir).items():
+        datasets.add(name, df)
+    found = reconcile(datasets, scale=MONEY)
+    return found.where(F.col("tool").isin("compare_aggregates", "find_unmatched_records")).select(
+        "pair", "tool", "dataset_a", "value"
+    )
+
+
 @query
 def evidence_dedup(spark, sf_dir):
     first = _baseline(spark, sf_dir).drop("evidence_id")
