@@ -24,8 +24,8 @@ HEADLINES = (
     "rows_by_key_columns", "bridge_summary", "bridge_extra_copies", "segment_sum",
     "segment_month", "segment_unmatched", "segment_topk", "localize_segment", "impact_unmatched",
     "impact_orders_without_lines", "profile_columns", "profile_table", "relationships",
-    "baseline", "citation_check", "inject_offset", "inject_truth", "score_checks",
-    "score_terms", "redact_text",
+    "quality_review", "baseline", "baseline_with_inferred_key", "citation_check", "inject_offset", "inject_truth", "score_checks",
+    "score_pass_rate", "score_call_counts", "score_terms", "redact_text",
 )
 
 

@@ -11,13 +11,13 @@ import functools
 import operator
 from collections.abc import Mapping, Sequence
 from decimal import Decimal
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosstally.errors import ReconcileInputError
-from crosstally.functions.types import column_class, quoted
+from crosstally.functions.types import column_class, quoted, require_columns
 
 # The accepted filter operators.
 FILTER_OPERATORS = (
@@ -52,15 +52,30 @@ def _operand(cls: str, value: Any) -> Column | None:
     return F.lit(value) if given == cls else None
 
 
-def condition_column(df: DataFrame, condition: Mapping[str, Any]) -> Column:
-    """One ``{"column", "operator", "value"}`` condition as a boolean column."""
-    name = str(condition.get("column", ""))
-    op = str(condition.get("operator", "eq")).lower()
-    value = condition.get("value")
-    if name not in df.columns:
-        raise ReconcileInputError(f"no such filter column: {name}")
+class Filter(NamedTuple):
+    """One condition on a column; plain mappings with the same fields are accepted too."""
+
+    column: str
+    operator: str = "eq"
+    value: Any = None
+
+    @classmethod
+    def of(cls, given: Filter | Mapping[str, Any]) -> Filter:
+        if isinstance(given, Filter):
+            return given
+        unknown = sorted(set(given) - set(cls._fields))
+        if unknown or not isinstance(given.get("column"), str):
+            raise ReconcileInputError(f"a filter has column, operator and value: {dict(given)!r}")
+        return cls(**given)
+
+
+def condition_column(df: DataFrame, condition: Filter | Mapping[str, Any]) -> Column:
+    """One condition as a boolean column."""
+    name, op, value = Filter.of(condition)
+    op = op.lower()
+    require_columns(df, [name])
     if op not in FILTER_OPERATORS:
-        raise ReconcileInputError(f"unknown filter operator: {op}")
+        raise ReconcileInputError(f"{op!r} is no filter operator; use {', '.join(FILTER_OPERATORS)}")
     column, cls = quoted(name), column_class(df, name)
     if op == "is_null":
         return column.isNull()
@@ -82,7 +97,7 @@ def condition_column(df: DataFrame, condition: Mapping[str, Any]) -> Column:
     return found if op == "in" else ~F.coalesce(found, F.lit(False))
 
 
-def apply_filters(df: DataFrame, conditions: Sequence[Mapping[str, Any]] | None) -> DataFrame:
+def apply_filters(df: DataFrame, conditions: Sequence[Filter | Mapping[str, Any]] | None) -> DataFrame:
     """Keep the rows that satisfy every condition (one ``where``, so it reaches the scan)."""
     if not conditions:
         return df
