@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosstally.functions.types import quoted
-from crosstally.sources.writers import materialize
+from crosstally.sources.writers import materialize, shared_folder
 
 #: Words of the documents: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +25,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return materialize(df, f"llm-{label}")
 
 
+class Scratch:
+    """Stored tables that serve only the next steps, and go once what follows from them is stored."""
+
+    def __init__(self) -> None:
+        self._kept: list[tuple[SparkSession, str]] = []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{shared_folder(spark)}/crosstally-llm-{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self._kept.append((spark, path))
+        return spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Nothing that is still to be computed may read one of the tables."""
+        for spark, path in self._kept:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        self._kept.clear()
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstally.llm.frames import stored
+from crosstally.llm.frames import Scratch
 
 
 def _to_minimum(directed: DataFrame) -> DataFrame:
@@ -34,14 +34,18 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     lost with an executor. The driver sees three figures per round: the count of edges and two
     order-free checksums, which stand still when all edges point at the least node.
     """
-    edges = stored(
+    before = Scratch()
+    edges = before.stored(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .where("u <> v").distinct(),
         label,
     )
     last = None
     while True:
-        edges = stored(_small_star(_large_star(edges)).where("u <> v").distinct(), label)
+        now = Scratch()
+        edges = now.stored(_small_star(_large_star(edges)).where("u <> v").distinct(), label)
+        before.drop()
+        before = now
         mixed = F.xxhash64("u", "v")
         seen = edges.agg(
             F.count(F.lit(1)), F.bit_xor(mixed), F.sum(F.shiftright(mixed, 24))

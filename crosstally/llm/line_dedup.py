@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from crosstally.functions.types import quoted
-from crosstally.llm.frames import bucket_bits, running_sum, stored
+from crosstally.llm.frames import Scratch, bucket_bits, running_sum, stored
 
 MIN_LINES = 2
 RANKS_PER_BUCKET = 4096
@@ -61,9 +61,9 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _first_ranks(lines: DataFrame) -> DataFrame:
+def _first_ranks(lines: DataFrame, scratch: Scratch) -> DataFrame:
     """doc, place, lines, rank of the lines that occur more than once: rank_1, by hash order."""
-    repeated = stored(
+    repeated = scratch.stored(
         lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-lines"
     )
     bits = bucket_bits(repeated.count(), RANKS_PER_BUCKET)
@@ -75,7 +75,7 @@ def _first_ranks(lines: DataFrame) -> DataFrame:
     return lines.join(ranked, ["h1", "h2"]).select("doc", "place", "lines", "rank")
 
 
-def _doubled(level: DataFrame, step: int) -> DataFrame:
+def _doubled(level: DataFrame, step: int, scratch: Scratch) -> DataFrame:
     """From the ranks of ``step`` lines those of twice as many, of the suffixes that share one."""
     here = level.select("doc", "place", "lines", F.col("rank").alias("r1"), F.lit(None).cast("long").alias("r2"))
     ahead = level.where(F.col("place") >= step).select(
@@ -91,7 +91,7 @@ def _doubled(level: DataFrame, step: int) -> DataFrame:
         .withColumn("r2", F.coalesce("r2", F.when(ends, F.lit(0).cast("long"))))
         .where("r2 is not null")
     )
-    pairs = stored(pairs, "pairs")
+    pairs = scratch.stored(pairs, "pairs")
     groups = (
         pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         .withColumn("bucket", F.expr(f"r2 div {RANKS_PER_BUCKET}"))
@@ -103,12 +103,15 @@ def _doubled(level: DataFrame, step: int) -> DataFrame:
     )
 
 
-def suffix_levels(docs: DataFrame) -> list[tuple[int, DataFrame]]:
+def suffix_levels(docs: DataFrame, kept: Scratch) -> list[tuple[int, DataFrame]]:
     """[(h, table of doc, place, lines, rank)]: rank_h for h = 1, 2, 4, ... of shared suffixes."""
-    level = stored(_first_ranks(numbered_lines(docs)), "level-1")
+    passing = Scratch()
+    level = kept.stored(_first_ranks(numbered_lines(docs), passing), "level-1")
+    passing.drop()
     levels, step = [(1, level)], 1
     while True:
-        level = stored(_doubled(level, step), f"level-{2 * step}")
+        level = kept.stored(_doubled(level, step, passing), f"level-{2 * step}")
+        passing.drop()
         step *= 2
         going = level.agg(F.count(F.lit(1)), F.count_if("goes_on")).first()
         if not going[0]:
@@ -122,7 +125,8 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """doc, place, length, first_doc, first_place: maximal later copies of ``min_lines`` or more."""
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
-    levels = suffix_levels(docs)
+    kept = Scratch()
+    levels = suffix_levels(docs, kept)
     usable = [(h, table) for h, table in levels if h >= min_lines]
     where = F.struct("doc", "place")
     later = None
@@ -156,14 +160,16 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         *[F.max(c).alias(c) for c in ("h", "first_doc", "first_place", "doc_before", "place_before")]
     )
     continues = F.col("first_doc").eqNullSafe(F.col("doc_before")) & F.col("first_place").eqNullSafe(F.col("place_before"))
-    runs = stored(
+    runs = kept.stored(
         both.where(F.col("h").isNotNull() & ~continues)
         .select("doc", "place", "first_doc", "first_place", F.col("h").alias("length")),
         "run-starts",
     )
     for h, table in reversed(levels):
-        runs = _extended(runs, table, h)
-    return stored(runs, "runs")
+        runs = kept.stored(_extended(runs, table, h), f"extended-{h}")
+    runs = stored(runs, "runs")
+    kept.drop()
+    return runs
 
 
 def _extended(runs: DataFrame, table: DataFrame, step: int) -> DataFrame:
@@ -180,10 +186,7 @@ def _extended(runs: DataFrame, table: DataFrame, step: int) -> DataFrame:
     two = table.select(F.col("doc").alias("first_doc"), F.col("place").alias("q"), F.col("rank").alias("rank_q"))
     met = at.join(one, ["doc", "p"], "left").join(two, ["first_doc", "q"], "left")
     grown = F.when(F.col("rank_p") == F.col("rank_q"), F.col("depth")).otherwise(0)
-    return stored(
-        met.select("doc", "place", "first_doc", "first_place", (F.col("length") + grown).alias("length")),
-        f"extended-{step}",
-    )
+    return met.select("doc", "place", "first_doc", "first_place", (F.col("length") + grown).alias("length"))
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:

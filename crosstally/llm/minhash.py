@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstally.llm.frames import picked, stored
+from crosstally.llm.frames import Scratch, picked, stored
 from crosstally.llm.graph import components
 from crosstally.llm.shingles import Shingler, mixed
 
@@ -190,7 +190,9 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_confirmed, "u binary, v binary")
 
 
-def _missed(crowded: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+def _missed(
+    crowded: DataFrame, found: DataFrame, sets: DataFrame, scratch: Scratch
+) -> DataFrame:
     """Links between members of one bucket that lie in different components.
 
     Of each bucket the members outside its largest component (the stragglers) meet all members. Both are
@@ -209,7 +211,7 @@ def _missed(crowded: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
         F.ceil((F.col("size") - F.col("top.m")) / PART).cast("int").alias("few"),
         F.ceil(F.col("size") / PART).cast("int").alias("lanes"),
     )
-    split = stored(placed.drop("size").join(largest, ["band", "key"]), "split")
+    split = scratch.stored(placed.drop("size").join(largest, ["band", "key"]), "split")
     all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     some_of = lambda n: F.pmod(F.xxhash64("u", F.lit(n)), F.col(n)).cast("int")
     stragglers = split.where("component <> largest").select(
@@ -244,19 +246,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     members = classes.select(F.col("class").alias("u"), F.col("n").alias("u_n"), F.posexplode("keys").alias("band", "key"))
     sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowded = stored(members.join(sizes, ["band", "key"]), "crowded")
+    scratch = Scratch()
+    crowded = scratch.stored(members.join(sizes, ["band", "key"]), "crowded")
     crowds = crowded.groupBy("u").agg(F.sum("size").alias("crowd"))
-    sets = stored(
+    sets = scratch.stored(
         _shingle_sets(docs, crowds.select(F.col("u").alias("class")).join(classes.select("class", "member"), "class")),
         "sets",
     )
     rank = F.struct("crowd", F.col("u").alias("v"), F.col("u_n").alias("v_n"))
     centres = crowded.join(crowds, "u").groupBy("band", "key").agg(F.max(rank).alias("top")).select("band", "key", "top.v", "top.v_n")
     stars = crowded.join(centres, ["band", "key"]).where("u <> v").select("u", "v", "u_n", "v_n").distinct()
-    links = stored(_links(_similar_sizes(stars), sets), "links")
-    found = stored(components(links, "joined"), "components")
-    missed = stored(_missed(crowded, found, sets), "missed")
-    found = components(links.union(missed), "all-joined")
+    links = scratch.stored(_links(_similar_sizes(stars), sets), "links")
+    found = scratch.stored(components(links, "joined"), "components")
+    missed = scratch.stored(_missed(crowded, found, sets, scratch), "missed")
+    found = stored(components(links.union(missed), "all-joined"), "all-components")
+    scratch.drop()
 
     named = worded.select("class", "doc_id").distinct().join(
         found.withColumnRenamed("node", "class"), "class", "left"

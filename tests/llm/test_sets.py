@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from crosstally.llm import chunk_dedup, decontamination, graph, line_dedup, minhash
+from crosstally.llm.frames import Scratch
 from crosstally.llm.shingles import Shingler
 
 DOCS = "doc_id long, text string"
@@ -97,7 +98,7 @@ def test_two_alike_that_are_unlike_the_centre_are_still_linked(spark, monkeypatc
     crowded = spark.createDataFrame([(0, 7, bytearray(c), 40, len(sets)) for c in names], "band int, key long, u binary, u_n long, size long")
     table = spark.createDataFrame([(bytearray(c), bytearray(s.tobytes())) for c, s in zip(names, sets)], "class binary, shingles binary")
     found = spark.createDataFrame([(bytearray(names[1]), bytearray(names[1])), (bytearray(names[8]), bytearray(names[1]))], "node binary, component binary")
-    pairs = {tuple(sorted((bytes(r["u"]), bytes(r["v"])))) for r in minhash._missed(crowded, found, table).collect()}
+    pairs = {tuple(sorted((bytes(r["u"]), bytes(r["v"])))) for r in minhash._missed(crowded, found, table, Scratch()).collect()}
     assert pairs == {(names[i], names[i + 7]) for i in (2, 3, 4)}
 
 
