@@ -97,12 +97,15 @@ def branches(
     )
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
-    path = ranked.select("tree", F.col("id").alias("leaf"), "rank", "id", (F.col("length") - 1).alias("turn"))
+    path = stored(
+        ranked.select("tree", F.col("id").alias("leaf"), "rank", "id", (F.col("length") - 1).alias("turn")), "path"
+    )
     for n, level in reversed(list(enumerate(levels))):
         higher = path.join(level, ["tree", "id"]).select(
             "tree", "leaf", "rank", F.col("up").alias("id"), (F.col("turn") - (1 << n)).alias("turn")
         )
-        path = path.unionByName(higher)
+        # Stored, as each step reads the path twice and plans would double with every level.
+        path = stored(path.unionByName(higher), "path")
     return path.join(nodes.select("tree", "id", "role", "text"), ["tree", "id"]).select(
         F.col("tree.tree").alias("tree_id"), F.col("leaf").alias("leaf_id"), "rank", "turn", "role", "text"
     )
