@@ -68,10 +68,12 @@ def _pointers(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
             "tree", F.col("id").alias("up"), F.col("length").alias("more"),
             F.col("total").alias("added"), F.col("up").alias("next"),
         )
-        state = state.join(above, ["tree", "up"], "left").select(
-            "tree", "id", (F.col("total") + F.coalesce("added", F.lit(0.0))).alias("total"),
-            (F.col("length") + F.coalesce("more", F.lit(0))).alias("length"), F.col("next").alias("up"),
+        # Only branches that have not reached their root take another step.
+        moved = state.where("up is not null").join(above, ["tree", "up"]).select(
+            "tree", "id", (F.col("total") + F.col("added")).alias("total"),
+            (F.col("length") + F.col("more")).alias("length"), F.col("next").alias("up"),
         )
+        state = state.where("up is null").select("tree", "id", "total", "length", "up").unionByName(moved)
         steps *= 2
 
 
