@@ -15,7 +15,7 @@ cut between characters, never inside one; an empty table gives no rows; other co
 
 Scale: one pass cuts texts into chunks; only digests are shuffled, and after the first count only
 those that repeat. A frequent chunk collapses map-side; its rows meet the one row of its first place in
-a join that Spark can split. Very long texts are cut in blocks.
+a join that Spark can split. Very long texts are cut in blocks. Texts are shuffled once, to meet their passages.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from crosstally.functions.types import quoted
-from crosstally.llm.frames import stored
+from crosstally.llm.frames import Scratch, stored
 from crosstally.llm.shingles import mixed
 
 LEAST, MEAN, MOST = 16, 32, 256
@@ -114,11 +114,12 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, h, start, length, words, first_doc_id, first_start: runs of later copies of chunks."""
-    cut = stored(chunks(docs), "chunks")
+    passing = Scratch()
+    cut = passing.stored(chunks(docs), "chunks")
     place = F.struct("doc_id", "h", "nth")
     # Counting moves digests alone; places follow only for the chunks that repeat.
     repeated = cut.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2")
-    copies = stored(cut.join(repeated, ["d1", "d2"]), "copies")
+    copies = passing.stored(cut.join(repeated, ["d1", "d2"]), "copies")
     first = copies.groupBy("d1", "d2").agg(F.min(place).alias("first"))
     later = copies.join(first, ["d1", "d2"]).where(place > F.col("first")).select(
         "doc_id", "h", "nth", "start", "length", "words", "first"
@@ -133,10 +134,13 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         F.sum("words").alias("words"), F.count(F.lit(1)).alias("n"), F.countDistinct("nth").alias("distinct"),
     )
     words = F.expr("words * `distinct` div n")
-    return runs.withColumn("words", words).where(F.col("words") >= min_words).select(
+    passages = runs.withColumn("words", words).where(F.col("words") >= min_words).select(
         "doc.doc_id", "doc.h", "head.start", (F.col("tail.stop") - F.col("head.start")).alias("length"), "words",
         F.col("head.first.doc_id").alias("first_doc_id"), F.col("head.first.nth").alias("first_chunk"),
     )
+    passages = stored(passages, "repeats")
+    passing.drop()
+    return passages
 
 
 _CUT = StructType().add("text", StringType()).add("removed", LongType())
@@ -160,12 +164,12 @@ def dedup_passages(
 ) -> tuple[DataFrame, DataFrame]:
     """The documents with repeats cut out of ``text`` (and ``__removed`` characters), and the repeats."""
     bare = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
-    repeats = stored(repeated_passages(bare, min_words), "repeats")
+    repeats = repeated_passages(bare, min_words)
     key = F.struct(quoted(doc_id).alias("doc_id"), F.xxhash64(quoted(text)).alias("h"))
     spans = repeats.groupBy(F.struct("doc_id", "h").alias("__doc")).agg(
         F.collect_list(F.struct("start", "length")).alias("__spans")
     )
-    cut = docs.withColumn("__doc", key).join(spans, "__doc", "left").withColumn(
+    cut = docs.withColumn("__doc", key).join(spans.hint("merge"), "__doc", "left").withColumn(
         "__cut", _without(quoted(text), F.col("__spans.start"), F.col("__spans.length"))
     ).withColumns({text: F.col("__cut.text"), "__removed": F.col("__cut.removed")})
     return cut.drop("__doc", "__spans", "__cut"), repeats

@@ -72,7 +72,8 @@ def op4_document_fingerprints(spark, sf_dir):
 @query
 def op5_substring_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return chunk_dedup.repeated_passages(docs).drop("h")
+    cut, _ = chunk_dedup.dedup_passages(docs)
+    return cut.select("doc_id", F.col("__removed").alias("removed"), "text")
 
 
 @query

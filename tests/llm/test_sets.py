@@ -10,6 +10,7 @@ import pytest
 
 from crosstally.llm import chunk_dedup, decontamination, graph, line_dedup, minhash
 from crosstally.llm.frames import Scratch
+from crosstally.llm.queries import QUERIES
 from crosstally.llm.shingles import Shingler
 
 DOCS = "doc_id long, text string"
@@ -224,6 +225,17 @@ def test_passages_of_odd_rows(spark):
     assert found == {1, 2}
 
 
+def test_the_passage_query_cuts_every_document(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text), (2, f"other start {text}"), (2, "a second text of one id"), (3, "no copy"), (4, None), (5, "")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = [tuple(r) for r in QUERIES["op5_substring_dedup"](spark, str(tmp_path)).select("doc_id", "removed", "text").collect()]
+    assert len(found) == len(rows)
+    assert set(found) >= {(d, 0, t) for d, t in rows if d != 2} | {(2, 0, "a second text of one id")}
+    (removed, left), = [(n, t) for d, n, t in found if n]
+    assert len(left) == len(rows[1][1]) - removed and left.startswith("other start") and removed > len(text) // 2
+
+
 def best_distance(item, text):
     """Least edit distance of the item to any substring of the text (Sellers)."""
     row = list(range(len(item) + 1))
