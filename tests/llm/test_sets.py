@@ -236,6 +236,37 @@ def test_the_passage_query_cuts_every_document(spark, tmp_path):
     assert len(left) == len(rows[1][1]) - removed and left.startswith("other start") and removed > len(text) // 2
 
 
+@pytest.mark.parametrize("words_shared", [24, 51])
+def test_copied_passages_go_whole(spark, words_shared):
+    rng = random.Random(words_shared)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    rows, rest = [], {}
+    for i in range(150):
+        shared = sentence(rng, words_shared, words)
+        for doc_id in (i, 1000 + i):
+            head, tail = sentence(rng, 30, words), sentence(rng, 30, words)
+            rows.append((doc_id, f"{head}. {shared} ({tail}"))
+            rest[doc_id] = head, tail
+    cut, _ = chunk_dedup.dedup_passages(frame(spark, rows))
+    texts = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert all(texts[i] == rows[2 * i][1] for i in range(150))
+    # Of a copy at most the marks around it stay.
+    whole = [i for i in range(150) if len(texts[1000 + i]) <= sum(map(len, rest[1000 + i])) + 4]
+    for i in whole:
+        head, tail = (x.split() for x in rest[1000 + i])
+        assert texts[1000 + i].split()[:29] == head[:29] and texts[1000 + i].split()[-29:] == tail[-29:]
+    assert len(whole) >= (150 if words_shared > 50 else 125)
+
+
+def test_growth_ends_at_words():
+    for own, other, n in (
+        ("x end of", "x end to", 4), ("xy end", "xy and", 1), ("xyz", "xyq", 1), (" abc", " abd", 0), ("x ab", "x abc", 0),
+        ("x", "x more", 0), ("x ab  c", "x ab  d", 3), ("xab", "xab", 2),
+    ):
+        assert chunk_dedup.grown(own, other, 100) == (n, False), (own, other)
+    assert chunk_dedup.grown("x ab cde", "x ab cde", 5) == (3, True) and chunk_dedup.grown("xabcdefg", "xabcdefg", 4) == (0, True)
+
+
 def best_distance(item, text):
     """Least edit distance of the item to any substring of the text (Sellers)."""
     row = list(range(len(item) + 1))
