@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Every source's documents are put in a shuffled order and cut into blocks of equally many words. A
-schedule of slots walks the golden-ratio sequence; each point falls into one source's share of
-the unit interval, and the slot's rank among that source's slots says which block it takes
+Every source's documents are put in a shuffled order and cut into blocks of equally many words, of
+fewer words where a source would have only a few. A schedule of slots walks the golden-ratio sequence; each
+point falls into one source's share of the unit interval (its target divided by what a slot of it yields), and the slot's rank among that source's slots says which block it takes
 (after the last block the source starts again). Any prefix of the schedule is thus close to the
 target weights, and so is the whole.
 
@@ -30,6 +30,7 @@ GRID = 1 << 32
 CELL_BITS = 20
 SLOTS_PER_CHUNK = 8192
 DOCS_PER_BUCKET = 512
+LEAST_BLOCKS = 32
 
 
 def golden_point(slot: Column) -> Column:
@@ -82,7 +83,26 @@ def source_targets(
     )
 
 
-def schedule(targets: DataFrame, n_slots: int, block_words: int, most: float) -> DataFrame:
+def with_blocks(targets: DataFrame, block_words: int) -> DataFrame:
+    """``targets`` with the words of a source's block, the number of its blocks and the slots it is due.
+
+    A source of fewer than ``LEAST_BLOCKS`` blocks gets at least twice that many of fewer words, of one at
+    least; there a slot counts as the mean block, as the last one may be short. In larger sources, as in the
+    SQL, it counts as a whole block, so they fall short by less than one part in ``LEAST_BLOCKS``.
+    """
+    small = F.col("source_size") < F.lit(LEAST_BLOCKS * block_words)
+    words = F.when(small, F.greatest(F.lit(1), F.expr(f"source_size div {2 * LEAST_BLOCKS}"))).otherwise(F.lit(block_words))
+    return (
+        targets.withColumn("block", words.cast("long"))
+        .withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")))
+        .withColumn(
+            "due", F.when(small & (F.col("blocks") > 0), F.col("target") / (F.col("source_size") / F.col("blocks")))
+            .otherwise(F.col("target") / F.lit(block_words))
+        )
+    )
+
+
+def schedule(targets: DataFrame, n_slots: int, most: float) -> DataFrame:
     """slot, source_no, slot_rank, block_no: which block of which source each slot takes.
 
     A slot that would take a source's blocks more than ``most`` times takes nothing.
@@ -90,8 +110,8 @@ def schedule(targets: DataFrame, n_slots: int, block_words: int, most: float) ->
     spark = targets.sparkSession
     order = Window.orderBy("source_no")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    upto = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("target").over(everything)
+    upto = F.sum("due").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("due").over(everything)
     edge = F.floor(upto / total * F.lit(float(GRID)))
     last = F.max("source_no").over(everything)
     cells = (
@@ -99,7 +119,6 @@ def schedule(targets: DataFrame, n_slots: int, block_words: int, most: float) ->
         .withColumn("high", F.when(F.col("source_no") == last, F.lit(GRID)).otherwise(edge))
         .withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0)))
         .where("high > low")
-        .withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block_words)))
         .withColumn(
             "cell",
             F.explode(
@@ -147,12 +166,12 @@ def mix(
         ),
         "sizes",
     )
-    targets = stored(source_targets(sizes, weights, share, most), "targets")
-    total = targets.agg(F.sum("target")).first()[0] or 0.0
+    targets = stored(with_blocks(source_targets(sizes, weights, share, most), block_words), "targets")
+    due = targets.agg(F.sum("due")).first()[0] or 0.0
     bits = bucket_bits(sizes.count(), DOCS_PER_BUCKET)
     keyed = (
         sizes.join(targets, sizes["source"].eqNullSafe(targets["source"]))
-        .select("doc_id", sizes["source"], "source_no", "source_size", "target", "size")
+        .select("doc_id", sizes["source"], "source_no", "source_size", "target", "size", "block")
         .withColumn("key", shuffle_key(F.col("doc_id"), seed))
         .withColumn("bucket", F.shiftright("key", 60 - bits))
     )
@@ -162,21 +181,20 @@ def mix(
         ).drop("key", "bucket"),
         "placed",
     )
-    first, last = f"start div {block_words}", f"(start + size - 1) div {block_words}"
     pieces = (
         placed.where("size > 0")
-        .withColumn("block_no", F.explode(F.expr(f"sequence({first}, {last})")))
-        .withColumn("low", F.greatest(F.col("start"), F.col("block_no") * block_words))
-        .withColumn("high", F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block_words))
+        .withColumn("block_no", F.explode(F.expr("sequence(start div block, (start + size - 1) div block)")))
+        .withColumn("low", F.greatest(F.col("start"), F.col("block_no") * F.col("block")))
+        .withColumn("high", F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * F.col("block")))
         .select(
             "source_no", "block_no", "doc_id", "start",
             (F.col("low") - F.col("start")).alias("first_word"),
             (F.col("high") - F.col("low")).alias("words"),
         )
     )
-    slots = schedule(targets, round(total / block_words), block_words, most)
+    slots = schedule(targets, round(due), most)
     mixed = slots.drop("slot_rank").join(pieces, ["source_no", "block_no"])
-    return mixed.select("slot", "source_no", "block_no", "doc_id", "start", "first_word", "words"), placed
+    return mixed.select("slot", "source_no", "block_no", "doc_id", "start", "first_word", "words"), placed.drop("block")
 
 
 def taken(mixed: DataFrame, placed: DataFrame) -> DataFrame:

@@ -343,6 +343,18 @@ def test_mix_meets_its_targets(spark, seed):
     assert sorted(map(tuple, again)) == sorted(map(tuple, found))
 
 
+@pytest.mark.parametrize("size", [10, 65, 130, 200, 3000])
+def test_small_sources_come_near_their_targets(spark, size):
+    rows = [(i, " ".join(["w"] * size), f"s{i:02}") for i in range(30)] + [(99, " ".join(["w"] * 20000), "z")]
+    docs = spark.createDataFrame(rows, SOURCED)
+    found = mixing.taken(*mixing.mix(docs, weights=(1,), share=1.9)).collect()
+    small = [r for r in found if r["doc_id"] < 99]
+    assert all(r["taken"] == pytest.approx(r["target"], rel=0.05, abs=2) for r in found)
+    assert sum(r["taken"] for r in small) == pytest.approx(sum(r["target"] for r in small), rel=0.04)
+    few = mixing.taken(*mixing.mix(docs.where("doc_id = 0").withColumn("text", F.lit("a b c d")))).collect()
+    assert few[0]["taken"] == 6
+
+
 def test_mix_of_odd_tables(spark):
     assert mixing.taken(*mixing.mix(spark.createDataFrame([], SOURCED))).count() == 0
     wordless = mixing.taken(*mixing.mix(spark.createDataFrame([(1, None, None), (None, " ", "a")], SOURCED))).collect()
