@@ -48,17 +48,3 @@ def payments(spark):
 def frame(spark):
     """``frame("id long, v double", (1, 2.0), ...)``"""
     return lambda schema, *rows: spark.createDataFrame(list(rows), schema)
-
-
-def one(df) -> dict:
-    rows = df.collect()
-    assert len(rows) == 1
-    return rows[0].asDict(recursive=True)
-
-
-def rows(df) -> list[tuple]:
-    return [tuple(r) for r in df.collect()]
-
-
-def unordered(df) -> list[tuple]:
-    return sorted(rows(df), key=repr)

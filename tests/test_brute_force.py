@@ -6,7 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import one, unordered
+from results import one, unordered
 
 from crosstally.operators import bridge, compare, duplicates, impact, matching, segments
 

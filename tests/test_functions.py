@@ -4,7 +4,7 @@ import datetime as dt
 import hashlib
 
 import pytest
-from conftest import one, rows, unordered
+from results import one, rows, unordered
 from pyspark.sql import functions as F
 
 from crosstally.errors import ReconcileInputError

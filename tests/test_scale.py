@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import one
+from results import one
 from pyspark.sql import functions as F
 
 from crosstally.operators import bridge, compare, duplicates, impact, matching, segments

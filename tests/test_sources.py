@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows, unordered
+from results import rows, unordered
 from pyspark.sql import types as T
 
 from crosstally.errors import ReconcileInputError
