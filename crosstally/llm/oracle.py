@@ -131,4 +131,72 @@ SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(u.taken, 0) AS B
 FROM placed p LEFT JOIN used u ON u.doc_id = p.doc_id
 """
 
-ORACLE = {"op1_line_dedup": OP1, "op3_chat_formatting": OP3, "op6_minhash_near_dedup": OP6, "op9_source_mixing": OP9}
+#: Levels that the SQL unrolls: enough for 3**12 rows of a source, and as many sources.
+OP12_LEVELS = 12
+
+
+def _op12() -> str:
+    crc = (
+        "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), c -> ascii(c))), "
+        "(a, b) -> list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+        "(x, y) -> xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    )
+
+    def digest(*fields: str) -> str:
+        told = " || ".join(
+            f"coalesce(CAST(strlen(CAST({f} AS VARCHAR)) AS VARCHAR) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields
+        )
+        return f"sha256({told})"
+
+    whole = ("doc_id", "source", "lang", "n_chars")
+    steps = [
+        f"rows AS (SELECT doc_id, source, {digest(*whole, 'text')} AS leaf, "
+        f"{digest(*whole, "replace(text, chr(10), '')")} AS cut, {crc} % 2 = 0 AS tampered FROM documents)",
+        "sources AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) AS n "
+        "FROM rows GROUP BY source)",
+        "leaves AS (SELECT doc_id, leaf, CASE WHEN tampered THEN cut ELSE leaf END AS shown, tree, n, "
+        "row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos "
+        "FROM rows JOIN sources ON rows.source IS NOT DISTINCT FROM sources.source)",
+    ]
+
+    def tree(name: str, begin: str, keys: str) -> None:
+        """Nodes of every level, then the siblings and the folded digest of every lowest node."""
+        steps.append(f"{name}_n0 AS ({begin})")
+        steps.append(f"{name}_p0 AS (SELECT {keys}, tree, pos, shown, '' AS proof FROM {name}_begin)")
+        for i in range(OP12_LEVELS):
+            steps.append(
+                f"{name}_n{i + 1} AS (SELECT tree, pos // 3 AS pos, (max(n) + 2) // 3 AS n, "
+                "CASE WHEN max(n) > 1 THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE max(digest) END AS digest "
+                f"FROM {name}_n{i} GROUP BY tree, pos // 3)"
+            )
+            steps.append(
+                f"{name}_p{i + 1} AS (SELECT {keys}, p.tree, p.pos // 3 AS pos, "
+                "CASE WHEN max(s.n) > 1 THEN sha256(string_agg(CASE WHEN s.pos = p.pos THEN p.shown ELSE s.digest END, '' ORDER BY s.pos)) "
+                "ELSE max(p.shown) END AS shown, "
+                "max(p.proof) || coalesce(string_agg(s.digest, '' ORDER BY s.pos) FILTER (WHERE s.pos <> p.pos), '') AS proof "
+                f"FROM {name}_p{i} p JOIN {name}_n{i} s ON s.tree = p.tree AND s.pos // 3 = p.pos // 3 GROUP BY {keys}, p.tree, p.pos)"
+            )
+
+    steps.append("low_begin AS (SELECT row_number() OVER () AS nth, doc_id, leaf, tree, n, pos, shown FROM leaves)")
+    tree("low", "SELECT tree, pos, n, leaf AS digest FROM low_begin", "nth, doc_id, leaf")
+    steps.append(
+        f"high_begin AS (SELECT nth, doc_id, leaf, tree AS its_tree, proof AS low_proof, 0 AS tree, tree AS pos, shown FROM low_p{OP12_LEVELS})"
+    )
+    tree(
+        "high", f"SELECT 0 AS tree, tree AS pos, (SELECT count(*) FROM sources) AS n, digest FROM low_n{OP12_LEVELS}",
+        "nth, doc_id, leaf, its_tree, low_proof",
+    )
+    return (
+        "WITH " + ",\n".join(steps)
+        + "\nSELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(low_proof || proof) AS proof_sha256, "
+        f"p.shown AS folded_root, p.shown = r.digest AS verified FROM high_p{OP12_LEVELS} p "
+        f"JOIN low_n{OP12_LEVELS} s ON s.tree = p.its_tree CROSS JOIN high_n{OP12_LEVELS} r"
+    )
+
+
+OP12 = _op12()
+
+ORACLE = {
+    "op1_line_dedup": OP1, "op3_chat_formatting": OP3, "op6_minhash_near_dedup": OP6, "op9_source_mixing": OP9,
+    "op12_merkle_manifest": OP12,
+}

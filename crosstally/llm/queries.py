@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosstally.llm import (
-    chat, chunk_dedup, decontamination, fingerprints, line_dedup, minhash, mixing, quality, toxicity, urls,
+    chat, chunk_dedup, decontamination, fingerprints, line_dedup, merkle, minhash, mixing, quality, toxicity, urls,
 )
 from crosstally.llm.oracle import ORACLE  # noqa: F401 - offered beside the queries
 
@@ -106,3 +106,13 @@ def op9_source_mixing(spark, sf_dir):
 @query
 def op10_toxicity(spark, sf_dir):
     return toxicity.grade_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    whole = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    cut = [*whole[:-1], F.replace("text", F.lit("\n"), F.lit(""))]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    shown = F.when(tampered, merkle.leaf_digest(*cut))
+    return merkle.fold(merkle.build(docs, merkle.leaf_digest(*whole), carried={"shown": shown}), "shown")
