@@ -137,9 +137,9 @@ OP12_LEVELS = 12
 
 def _op12() -> str:
     crc = (
-        "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), c -> ascii(c))), "
-        "(a, b) -> list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], "
-        "(x, y) -> xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+        "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c))), "
+        "lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+        "lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
     )
 
     def digest(*fields: str) -> str:
