@@ -196,7 +196,40 @@ def _op12() -> str:
 
 OP12 = _op12()
 
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces WHERE len(w) > 0),
+grams AS (
+  SELECT lang, w[i:i + m - 1] AS g, m FROM (SELECT *, unnest(range(1, least(4, len(w) - i + 1) + 1)) AS m FROM starts)),
+f AS (SELECT lang, array_to_string(g, ' ') AS p, any_value(g) AS g, any_value(m) AS m, count(*) AS a FROM grams GROUP BY lang, p),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT * FROM f WHERE m >= 2 AND a >= 30),
+parts AS (
+  SELECT lang, p, a, k, array_to_string(g[1:k], ' ') AS left_part, array_to_string(g[k + 1:], ' ') AS right_part
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)),
+cuts AS (
+  SELECT c.lang, c.p, k, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a::HUGEINT + r.a) AS score
+  FROM parts c JOIN f l ON l.lang = c.lang AND l.p = c.left_part JOIN f r ON r.lang = c.lang AND r.p = c.right_part),
+lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS nth FROM cuts),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(g[i:i + x - 1], ' ') AS p, a AS longer
+  FROM (SELECT *, unnest(range(1, m - x + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS x FROM candidates))),
+dropped AS (
+  SELECT DISTINCT c.lang, c.p FROM candidates c JOIN inside s ON s.lang = c.lang AND s.p = c.p
+  WHERE 100::HUGEINT * s.longer >= 80::HUGEINT * c.a),
+ranked AS (
+  SELECT c.lang, c.p AS phrase, c.a, l, r, CAST(score AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, c.a DESC, c.p) AS rank
+  FROM candidates c JOIN lowest w ON w.lang = c.lang AND w.p = c.p AND w.nth = 1
+  ANTI JOIN dropped d ON d.lang = c.lang AND d.p = c.p)
+SELECT r.lang, rank, phrase, a, l, r.r, n, score FROM ranked r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
+
 ORACLE = {
     "op1_line_dedup": OP1, "op3_chat_formatting": OP3, "op6_minhash_near_dedup": OP6, "op9_source_mixing": OP9,
-    "op12_merkle_manifest": OP12,
+    "op12_merkle_manifest": OP12, "op13_phrase_collocations": OP13,
 }

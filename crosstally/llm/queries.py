@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosstally.llm import (
-    chat, chunk_dedup, decontamination, fingerprints, line_dedup, merkle, minhash, mixing, quality, toxicity, urls,
+    chat, chunk_dedup, decontamination, fingerprints, line_dedup, merkle, minhash, mixing, phrases, quality, toxicity, urls,
 )
 from crosstally.llm.oracle import ORACLE  # noqa: F401 - offered beside the queries
 
@@ -116,3 +116,8 @@ def op12_merkle_manifest(spark, sf_dir):
     tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
     shown = F.when(tampered, merkle.leaf_digest(*cut))
     return merkle.fold(merkle.build(docs, merkle.leaf_digest(*whole), carried={"shown": shown}), "shown")
+
+
+@query
+def op13_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
