@@ -27,7 +27,8 @@ Frontier, scores and settling are joins and aggregates on stored tables.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,75 +47,131 @@ BATCH = 65_536
 FILTER_BITS = 1 << 25
 _PER_ROW = 32_768  # bits that Spark's bitmap functions put into one row
 
-_TOKENS, _WORDS, _SLICE = 1 << 21, 1 << 18, 1 << 20
+_TOKENS, _SLICE = 1 << 20, 1 << 20
+_STOP, _BLANK = 46, 32
 _TABLE = bytes(
-    46 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256)
+    _STOP if c in b".,;:!?\x0a\x0b\x0c\x0d" else _BLANK if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256)
 )
+_BASE = 0x9E3779B97F4A7C15
+_LETTERS = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 # Counting in tasks ----------------------------------------------------------------------------
 
-class Numbered:
-    """The words of a task's texts as numbers of its own; 0 stands between pieces."""
-
-    def __init__(self) -> None:
-        self.reset()
-
-    def reset(self) -> None:
-        self._known: dict[str, dict[bytes, int]] = {}
-        self.words: list[tuple[str, bytes]] = [("", b"")]
-        self.hashes: list[int] = [0]
-
-    def add(self, lang: str, text: str) -> Iterator[np.ndarray]:
-        """Word numbers, slice by slice; slices end where pieces do."""
-        seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
-        # After this every separator is a full stop and every blank a space, and nothing else is.
-        data = text.encode("utf-8", "surrogatepass").translate(_TABLE)
-        at = 0
-        while at < len(data):
-            # The table may have been emptied since the last slice.
-            known = self._known.setdefault(lang, {b".": 0})
-            stop = data.find(b".", at + _SLICE)
-            part = data[at:] if stop < 0 else data[at : stop + 1]
-            at += len(part)
-            words = part.replace(b".", b" . ").split()
-            words.append(b".")
-            for word in set(words) - known.keys():
-                known[word] = len(self.words)
-                self.words.append((lang, word))
-                self.hashes.append(xxhash.xxh64_intdigest(word, seed) or 1)
-            yield np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Numbered]]:
-    """Bounded runs of word numbers with the table of their words."""
-    numbered, parts, size = Numbered(), [], 0
+class Words(NamedTuple):
+    """The words of some texts, in order, as 64-bit hashes of language and word.
+
+    ``piece`` numbers the pieces they stand in; ``data[starts:ends]`` spells them.
+    """
+
+    hashes: np.ndarray
+    piece: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    lang: np.ndarray
+    data: bytes
+
+
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number, and of its inverse, modulo 2**64."""
+    up = np.full(size, _BASE, np.uint64)
+    down = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def words_of(texts: list[tuple[str, bytes]]) -> Words:
+    """All words at once: a word's hash is a difference of running sums over the bytes.
+
+    Texts are (language, bytes) whose separators are full stops and whose blanks are spaces.
+    """
+    data = b".".join(text for _, text in texts)
+    letters = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = (letters != _STOP) & (letters != _BLANK)
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    up, down = _powers(max(_SLICE * 2, 1 << len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.take(_LETTERS, letters, out=sums[1:])
+    sums[1:] *= up[: len(data)]
+    np.cumsum(sums, out=sums)
+    plain = (sums[ends] - sums[starts]) * down[starts]
+    lang = np.searchsorted(np.cumsum([len(t) + 1 for _, t in texts]), starts, side="right")
+    seeds = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x, _ in texts], np.uint64)
+    hashes = mixed(mixed(plain + (ends - starts).astype(np.uint64)) + seeds[lang])
+    piece = np.cumsum(letters == _STOP, dtype=np.int32)[starts]
+    return Words(
+        np.maximum(hashes, np.uint64(1)), piece, starts.astype(np.int32), ends.astype(np.int32), lang.astype(np.int32), data
+    )
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, bytes]]]:
+    """Texts in runs of bounded size; long ones are cut where pieces end."""
+    run, size = [], 0
     for batch in batches:
-        for lang, text in zip(batch.column("lang"), batch.column("text")):
-            for part in numbered.add(lang.as_py(), text.as_py() or ""):
-                parts.append(part)
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            data = text.as_buffer()
+            data = data.to_pybytes().translate(_TABLE) if data is not None else b""
+            at = 0
+            while at < len(data):
+                stop = data.find(b".", at + _SLICE)
+                part = data[at:] if stop < 0 else data[at:stop]
+                at += len(part) + 1
+                run.append((lang, part))
                 size += len(part)
-                if size >= _TOKENS:
-                    yield np.concatenate(parts), numbered
-                    parts, size = [], 0
-                    if len(numbered.words) > _WORDS:
-                        numbered.reset()
-    if size:
-        yield np.concatenate(parts), numbered
+                if size >= _SLICE:
+                    yield run
+                    run, size = [], 0
+    if run:
+        yield run
+
+
+def _chunks(
+    batches: Iterator[pa.RecordBatch], spelled: bool = False
+) -> Iterator[tuple[Words, list[str]]]:
+    """Words of many texts, and the languages that their ``lang`` counts.
+
+    What spells the words is left out unless asked for.
+    """
+    parts, langs, size, offset = [], [], 0, 0
+
+    def together() -> tuple[Words, list[str]]:
+        columns = [np.concatenate(c) for c in list(zip(*parts))[:5]]
+        return Words(*columns, b"".join(p.data for p in parts)), langs
+
+    for run in _sliced(batches):
+        found = words_of(run)
+        # A run has fewer pieces than bytes, so the offset keeps pieces of different runs apart.
+        moved = {"piece": found.piece + np.int32(offset)}
+        if spelled:
+            moved |= {c: getattr(found, c) + np.int32(offset) for c in ("starts", "ends")}
+            moved["lang"] = found.lang + np.int32(len(langs))
+            langs += [x for x, _ in run]
+        else:
+            none = found.lang[:0]
+            moved |= {"starts": none, "ends": none, "lang": none, "data": b""}
+        parts.append(found._replace(**moved))
+        offset += len(found.data) + (0 if spelled else 1)
+        size += len(found.hashes)
+        if size >= _TOKENS:
+            yield together()
+            parts, langs, size, offset = [], [], 0, 0
+    if parts:
+        yield together()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for tokens, numbered in _chunks(batches):
-        counts = np.bincount(tokens, minlength=len(numbered.words))
-        counts[0] = 0
-        here = np.flatnonzero(counts)
-        words = [numbered.words[i] for i in here]
-        hashes = np.array(numbered.hashes, np.uint64)[here].view(np.int64)
+    for words, langs in _chunks(batches, spelled=True):
+        names, first, counts = np.unique(words.hashes, return_index=True, return_counts=True)
+        spelled = [
+            words.data[i:j].decode("utf-8", "surrogatepass") for i, j in zip(words.starts[first], words.ends[first])
+        ]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([w[0] for w in words], pa.string()),
-                pa.array([w[1].decode("utf-8", "surrogatepass") for w in words], pa.string()),
-                pa.array(hashes), pa.array(counts[here], pa.int64()),
+                pa.array([langs[i] for i in words.lang[first]], pa.string()), pa.array(spelled, pa.string()),
+                pa.array(names.view(np.int64)), pa.array(counts, pa.int64()),
             ],
             ["lang", "word", "h", "n"],
         )
@@ -136,51 +193,42 @@ def _is_in(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[at] == names
 
 
-def _runs(tokens: np.ndarray, usable: np.ndarray, width: int) -> np.ndarray:
-    """Where ``width`` usable words follow one another."""
-    n = len(tokens) - width + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    good = usable[tokens]
-    here = good[:n].copy()
-    for i in range(1, width):
-        here &= good[i : i + n]
+def _runs(words: Words, usable: np.ndarray, width: int) -> np.ndarray:
+    """Where ``width`` usable words of one piece follow one another."""
+    n = max(0, len(usable) - width + 1)
+    here = words.piece[:n] == words.piece[width - 1 :]
+    for i in range(width):
+        here &= usable[i : i + n]
     return np.flatnonzero(here)
 
 
-def _tallied(tokens: np.ndarray, at: np.ndarray, width: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The different phrases of ``width`` words that begin at ``at``, as word numbers, and their counts."""
-    name = tokens[at]
+def _tallied(hashes: np.ndarray, at: np.ndarray, width: int) -> pa.RecordBatch:
+    """The different phrases of ``width`` words that begin at ``at``, with their counts."""
+    columns = [hashes[at + i] for i in range(width)]
+    numbers = np.unique(np.concatenate(columns), return_inverse=True)[1].reshape(width, -1)
+    name = numbers[0]
     for i in range(1, width):
         if i > 1:
             name = np.unique(name, return_inverse=True)[1]
-        name = (name << 32) | tokens[at + i]
+        name = (name << 32) | numbers[i]
     _, first, counts = np.unique(name, return_index=True, return_counts=True)
-    return [tokens[at[first] + i] for i in range(width)], counts
+    return pa.RecordBatch.from_arrays(
+        [*[pa.array(c[first].view(np.int64)) for c in columns], pa.array(counts, pa.int64())],
+        [*[f"w{i + 1}" for i in range(width)], "n"],
+    )
 
 
 def _usable(hashes: np.ndarray, bits: bytes) -> np.ndarray:
+    """Which words may be frequent."""
     slot = hashes % np.uint64(8 * len(bits))
     row = np.frombuffer(bits, np.uint8)[(slot >> np.uint64(3)).astype(np.int64)]
-    found = ((row >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-    found[0] = False
-    return found
-
-
-def _rows(hashes: np.ndarray, words: list[np.ndarray], counts: np.ndarray, width: int) -> pa.RecordBatch:
-    none = np.zeros(len(counts), np.int64)
-    columns = [hashes[w].view(np.int64) for w in words] + [none] * (width - len(words))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c) for c in [*columns, counts.astype(np.int64)]], [*[f"w{i + 1}" for i in range(width)], "n"]
-    )
+    return ((row >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def _pair_counter(bits: bytes) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, numbered in _chunks(batches):
-            hashes = np.array(numbered.hashes, np.uint64)
-            words, counts = _tallied(tokens, _runs(tokens, _usable(hashes, bits), 2), 2)
-            yield _rows(hashes, words, counts, 2)
+        for words, _ in _chunks(batches):
+            yield _tallied(words.hashes, _runs(words, _usable(words.hashes, bits), 2), 2)
 
     return count
 
@@ -189,16 +237,17 @@ def _extension_counter(bits: bytes, pairs: np.ndarray, triples: np.ndarray) -> C
     """Counts the phrases of three and four words whose prefixes are wanted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, numbered in _chunks(batches):
-            hashes = np.array(numbered.hashes, np.uint64)
-            usable = _usable(hashes, bits)
+        for words, _ in _chunks(batches):
+            hashes, usable = words.hashes, _usable(words.hashes, bits)
             for wanted, width in ((pairs, 3), (triples, 4)):
                 if not len(wanted):
                     continue
-                at = _runs(tokens, usable, width)
-                names = phrase_keys(*[hashes[tokens[at + i]] for i in range(width - 1)])
-                words, counts = _tallied(tokens, at[_is_in(names, wanted)], width)
-                yield _rows(hashes, words, counts, 4)
+                at = _runs(words, usable, width)
+                names = phrase_keys(*[hashes[at + i] for i in range(width - 1)])
+                found = _tallied(hashes, at[_is_in(names, wanted)], width)
+                if width == 3:
+                    found = found.add_column(3, "w4", pa.array(np.zeros(len(found), np.int64)))
+                yield found
 
     return count
 
@@ -293,8 +342,11 @@ def _bars(survivors: DataFrame, top: int) -> DataFrame:
 
 
 def _above(phrases: DataFrame, bars: DataFrame, figure: str) -> DataFrame:
-    """Those whose ``figure`` reaches their language's bar."""
-    return phrases.join(bars, "lang", "left").where(F.col("bar").isNull() | (F.col(figure) >= F.col("bar"))).drop("bar")
+    """Those whose ``figure`` reaches their language's bar; all, where it has none yet."""
+    barred = bars.withColumnRenamed("lang", "barred")
+    reaching = phrases.join(barred, (F.col("lang") == F.col("barred")) & (F.col(figure) >= F.col("bar")))
+    free = phrases.join(barred, F.col("lang") == F.col("barred"), "left_anti")
+    return reaching.drop("barred", "bar").unionByName(free)
 
 
 _NAME = ["lang", "w1", "w2", "w3"]

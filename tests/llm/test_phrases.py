@@ -69,7 +69,7 @@ def mined(spark, rows, **options):
     return sorted(tuple(r) for r in df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
 
 
-@pytest.mark.parametrize("top, batch", [(2000, 65_536), (3, 4), (12, 25)])
+@pytest.mark.parametrize("top, batch", [(2000, 65_536), (3, 60)])
 def test_against_counting(spark, top, batch):
     rows = corpus(top)
     assert mined(spark, rows, top=top, least=8, batch=batch) == by_hand(rows, top, 8)
@@ -78,7 +78,6 @@ def test_against_counting(spark, top, batch):
 def test_bounded_tables_of_words(spark, monkeypatch):
     rows = corpus(7)
     monkeypatch.setattr(phrases, "_TOKENS", 50)
-    monkeypatch.setattr(phrases, "_WORDS", 10)
     monkeypatch.setattr(phrases, "_SLICE", 20)
     monkeypatch.setattr(phrases, "FILTER_BITS", 32_768)
     assert mined(spark, rows, top=50, least=8) == by_hand(rows, 50, 8)
