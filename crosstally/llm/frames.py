@@ -78,3 +78,30 @@ def running_sum(
         .withColumn(name, F.col("__own") + F.col("__offset"))
         .drop("__own", "__offset")
     )
+
+
+def ranged(rows: DataFrame, order: list[str], label: str, scratch: Scratch) -> DataFrame:
+    """``rows`` sorted by ``order`` over all partitions; ``at`` ascends, and counts on in a partition."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Rows equal in the order are told apart by a number, or one range might hold them all.
+    numbered = scratch.stored(rows.withColumn("salt", F.monotonically_increasing_id()), f"{label}-rows")
+    by = [*order, "salt"]
+    return scratch.stored(
+        numbered.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("salt")
+        .withColumn("at", F.monotonically_increasing_id()),
+        label,
+    )
+
+
+def spans_of(ranged: DataFrame, group: list[str]) -> DataFrame:
+    """Per partition and group: first ``at``, how many rows, and how many of the group lie before."""
+    spans = ranged.groupBy(*group, F.shiftright("at", 33).alias("part")).agg(
+        F.min("at").alias("first"), F.count(F.lit(1)).alias("rows")
+    )
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0).cast("long")))
+
+
+def place_in() -> Column:
+    """A row's place in its group, from the columns of ``ranged`` and ``spans_of``."""
+    return F.col("before") + F.col("at") - F.col("first")

@@ -28,12 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosstally.functions.types import quoted
 from crosstally.llm import sha256
-from crosstally.llm.frames import Scratch, stored
+from crosstally.llm.frames import Scratch, place_in, ranged, spans_of, stored
 
 ARITY, LEVELS = 3, 7
 SPAN = ARITY**LEVELS
@@ -94,52 +94,26 @@ def _no_parents(spark: SparkSession) -> DataFrame:
 
 # Places ---------------------------------------------------------------------------------------
 
-def _ranged(rows: DataFrame, order: list[str], label: str, scratch: Scratch) -> DataFrame:
-    """``rows`` sorted by ``order`` over all partitions; ``at`` ascends, and counts on in a partition."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Rows equal in the order are told apart by a number, or one range might hold them all.
-    numbered = scratch.stored(rows.withColumn("salt", F.monotonically_increasing_id()), f"{label}-rows")
-    by = [*order, "salt"]
-    return scratch.stored(
-        numbered.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("salt")
-        .withColumn("at", F.monotonically_increasing_id()),
-        label,
-    )
-
-
-def _spans(ranged: DataFrame, group: list[str]) -> DataFrame:
-    """Per partition and group: first ``at``, how many rows, and how many of the group lie before."""
-    spans = ranged.groupBy(*group, F.shiftright("at", 33).alias("part")).agg(
-        F.min("at").alias("first"), F.count(F.lit(1)).alias("rows")
-    )
-    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0).cast("long")))
-
-
-def _place() -> Column:
-    return F.col("before") + F.col("at") - F.col("first")
-
-
 def _placed(
     leaves: DataFrame, scratch: Scratch
 ) -> tuple[DataFrame, DataFrame]:
     """The leaves with tree, n and pos, and the sources with tree and n."""
-    ranged = _ranged(leaves, ["source", "doc_id", "digest"], "leaves-by-range", scratch)
-    spans = scratch.stored(_spans(ranged, ["source"]), "spans")
-    sources = _ranged(
+    by_range = ranged(leaves, ["source", "doc_id", "digest"], "leaves-by-range", scratch)
+    spans = scratch.stored(spans_of(by_range, ["source"]), "spans")
+    sources = ranged(
         spans.groupBy("source").agg(F.sum("rows").alias("n")), ["source"], "sources-by-range", scratch
     )
     # One row per partition, so this window is no larger than the number of partitions.
-    parts = _spans(sources, [])
+    parts = spans_of(sources, [])
     numbered = sources.withColumn("part", F.shiftright("at", 33)).join(parts, "part")
-    told = stored(numbered.select("source", "n", _place().alias("tree")), "sources")
+    told = stored(numbered.select("source", "n", place_in().alias("tree")), "sources")
     known = spans.join(told, spans["source"].eqNullSafe(told["source"])).select(
         spans["source"].alias("its_source"), "part", "first", "before", "n", "tree"
     )
-    same = ranged["source"].eqNullSafe(known["its_source"]) & (F.col("at_part") == known["part"])
-    at = ranged.withColumn("at_part", F.shiftright("at", 33)).join(known, same)
+    same = by_range["source"].eqNullSafe(known["its_source"]) & (F.col("at_part") == known["part"])
+    at = by_range.withColumn("at_part", F.shiftright("at", 33)).join(known, same)
     placed = stored(
-        at.withColumn("pos", _place()).drop("its_source", "part", "at_part", "first", "before", "at", "source"),
+        at.withColumn("pos", place_in()).drop("its_source", "part", "at_part", "first", "before", "at", "source"),
         "leaves",
     )
     return placed, told

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crosstally.llm import (
-    chat, chunk_dedup, decontamination, fingerprints, line_dedup, merkle, minhash, mixing, phrases, quality, toxicity, urls,
+    chat, chunk_dedup, decontamination, fingerprints, hilbert, line_dedup, merkle, minhash, mixing, phrases, quality, toxicity, urls,
 )
 from crosstally.llm.oracle import ORACLE  # noqa: F401 - offered beside the queries
 
@@ -108,6 +108,11 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.grade_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_nearest_neighbours(spark, sf_dir):
+    return hilbert.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op12_merkle_manifest(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
