@@ -22,13 +22,14 @@ def exact(column: Column, data_type: T.DataType, scale: int | None) -> Column:
     Sums of doubles depend on row order, hence on partitioning. With ``scale`` (digits after
     the point, e.g. 2 for money) doubles are added as decimals, and every run and every cluster
     size gives the same digits. Four digits more than ``scale`` are kept, so values that have more
-    digits than announced are not rounded before they are added. NaN counts as null.
+    digits than announced are not rounded before they are added. Values have up to 28 digits in all, sums
+    up to 38. NaN counts as null.
     """
     if isinstance(data_type, T.BooleanType):
         return column.cast("long")
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         column = F.nullif(column, F.lit(float("nan")).cast(data_type))
-        return column if scale is None else column.cast(T.DecimalType(18, min(scale + 4, 18)))
+        return column if scale is None else column.cast(T.DecimalType(28, min(scale + 4, 18)))
     return column
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Sequence
@@ -56,6 +57,11 @@ def call_signature(tool: Column, arguments_json: Column) -> Column:
     return F.substring(F.sha2(F.concat(tool, F.lit(":"), arguments_json), 256), 1, 16)
 
 
+def signature_of(tool: str, arguments: dict[str, Any]) -> str:
+    """The :func:`call_signature` of a call that has not been made yet."""
+    return hashlib.sha256(f"{tool}:{canonical_json(arguments)}".encode()).hexdigest()[:16]
+
+
 def signed_amount(value: Column) -> Column:
     """``+1,234.50``"""
     return F.format_string("%+,.2f", value.cast("double"))

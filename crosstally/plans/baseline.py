@@ -39,6 +39,7 @@ from crosstally.operators.profile import (
     stack_profiles,
 )
 from crosstally.operators.relationships import choose_relationships
+from crosstally.plans.calls import CallStore, Planned
 from crosstally.plans.evidence import EVIDENCE_COLUMNS, HEADLINES, evidence_entry, ledger
 from crosstally.sources.registry import DatasetRegistry
 from crosstally.sources.writers import materialize
@@ -161,12 +162,21 @@ def _key_checks(
     return rows_from(measured, *entries).where("keep").select(*EVIDENCE_COLUMNS)
 
 
-def _duplicate_check(df: DataFrame, name: str, pair: str, seq: int) -> DataFrame:
-    found = find_duplicates(df)
+def _duplicate_arguments(name: str) -> dict:
+    return {"dataset": name, "key_columns": []}
+
+
+def _duplicate_check(
+    df: DataFrame, name: str, pair: str, seq: int, store: CallStore | None
+) -> DataFrame:
+    arguments = _duplicate_arguments(name)
+    found = find_duplicates(df) if store is None else store.run(
+        "find_duplicates", arguments, lambda: find_duplicates(df)
+    )
     names = [c for c in found.columns if c != "checked_columns"]
     return found.select(
         *evidence_entry(
-            pair, seq, "find_duplicates", {"dataset": name, "key_columns": []}, name, None,
+            pair, seq, "find_duplicates", arguments, name, None,
             "duplicate_row_count", F.col("duplicate_row_count"),
             F.format_string(f"%s rows of {name} are exact copies of each other",
                             F.col("duplicate_row_count")),
@@ -177,16 +187,23 @@ def _duplicate_check(df: DataFrame, name: str, pair: str, seq: int) -> DataFrame
 
 def _impact_check(
     df: DataFrame, other: DataFrame, key: str, name: str, other_name: str, chosen: ImpactColumns,
-    pair: str, seq: int, scale: int | None,
+    pair: str, seq: int, scale: int | None, store: CallStore | None,
 ) -> DataFrame:
-    figures = business_impact(
-        df, chosen.amount, chosen.date, chosen.segment, None, other, key, key, True, scale=scale
-    )
     arguments = {
         "dataset": name, "amount_column": chosen.amount or "", "date_column": chosen.date or "",
         "segment_column": chosen.segment or "", "filters": [], "match_against_dataset": other_name,
         "local_key": key, "other_key": key, "only_unmatched": True,
     }
+
+    def check() -> DataFrame:
+        return business_impact(
+            df, chosen.amount, chosen.date, chosen.segment, None, other, key, key, True, scale=scale
+        )
+
+    # Sums depend on the scale, which is no argument of the reported call.
+    figures = check() if store is None else store.run(
+        "calculate_business_impact", {**arguments, "scale": scale}, check
+    )
     return figures.where(F.col("affected_record_count") > 0).select(
         *evidence_entry(
             pair, seq, "calculate_business_impact", arguments, name, other_name,
@@ -210,21 +227,27 @@ def baseline_checks(
     question: str = "",
     most_values: int | None = None,
     first: int = 0,
+    planned: Planned | None = None,
+    store: CallStore | None = None,
 ) -> DataFrame:
     """The checks of one pair, not numbered yet; ``first`` shifts their place in the run.
 
-    ``most_values`` bounds the value comparisons shown, by default all differing columns.
+    ``most_values`` bounds the value comparisons shown, by default all differing columns. A check of a
+    single dataset that ``planned`` knows is left out. With a ``store`` the checks that scan a dataset on their own
+    (duplicates, impact) are read from there if an equal call was made, and stored if not.
     """
     require_columns(a, [key], name_a)
     require_columns(b, [key], name_b)
     pair = f"{name_a}|{name_b}"
     after_values = first + 7 + len(a.columns)
-    checks = [
-        _key_checks(a, b, key, name_a, name_b, pair, scale, question, first, most_values),
-        _duplicate_check(a, name_a, pair, first + 4),
-        _duplicate_check(b, name_b, pair, first + 5),
-        _impact_check(a, b, key, name_a, name_b, impact_a, pair, after_values, scale),
-        _impact_check(b, a, key, name_b, name_a, impact_b, pair, after_values + 1, scale),
+    planned = planned or Planned()
+    checks = [_key_checks(a, b, key, name_a, name_b, pair, scale, question, first, most_values)]
+    for seq, df, name in ((4, a, name_a), (5, b, name_b)):
+        if planned.is_new("find_duplicates", _duplicate_arguments(name)):
+            checks.append(_duplicate_check(df, name, pair, first + seq, store))
+    checks += [
+        _impact_check(a, b, key, name_a, name_b, impact_a, pair, after_values, scale, store),
+        _impact_check(b, a, key, name_b, name_a, impact_b, pair, after_values + 1, scale, store),
     ]
     return reduce(DataFrame.unionByName, checks)
 
@@ -248,12 +271,14 @@ def _failed(spark: SparkSession, pair: str, left: str, right: str, seq: int, rea
 def reconcile(
     datasets: DatasetRegistry, question: str = "", scale: int | None = None,
     distinct: str = "exact", most_pairs: int | None = None, most_values: int | None = None,
+    store: CallStore | None = None,
 ) -> DataFrame:
     """Profile all datasets once, pick the likely shared keys, and run the baseline on each pair.
 
     The profiles (one row per column) are stored and read from there; only names of keys and
     columns reach the driver. A pair that cannot be checked gets a ``check_failed`` row and the others go
-    on; datasets without a shared identifier give an empty ledger.
+    on; datasets without a shared identifier give an empty ledger. A dataset that is part of several pairs is
+    checked for duplicates once; ``store`` keeps results for later runs.
     """
     if not len(datasets):
         raise ReconcileInputError("no datasets to reconcile")
@@ -264,12 +289,13 @@ def reconcile(
     chosen = choose_relationships(profiles, most_pairs).collect()
     used = sorted({n for r in chosen for n in (r["left_dataset"], r["right_dataset"])})
     roles = {n: impact_columns(profiles.where(F.col("dataset") == n)) for n in used}
-    spark, checks, first = profiles.sparkSession, [], 0
+    spark, checks, first, planned = profiles.sparkSession, [], 0, Planned()
     for left, right, key in chosen:
         a, b = datasets[left], datasets[right]
         try:
             found = baseline_checks(
-                a, b, key, left, right, roles[left], roles[right], scale, question, most_values, first
+                a, b, key, left, right, roles[left], roles[right], scale, question, most_values, first,
+                planned, store,
             )
         except ReconcileInputError as error:
             found = _failed(spark, f"{left}|{right}", left, right, first, str(error))
@@ -277,6 +303,5 @@ def reconcile(
         first += 10 + len(a.columns)
     if not checks:
         checks = [_failed(spark, "", "", "", 0, "").where("false")]
-    # A dataset that is part of two pairs is checked for duplicates once. All pairs are one run: its rows
-    # follow from the number of datasets and columns, not from their data.
+    # All pairs are one run: its rows follow from the number of datasets and columns, not from their data.
     return ledger(*checks, run=None)

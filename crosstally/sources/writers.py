@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -41,7 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
     Where it is unset a one-machine session gets a folder of its own; a cluster gets an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
+    one_machine = re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", ""))
+    if not folder and not one_machine:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (folder or _one_machine_folder()).rstrip("/")
 

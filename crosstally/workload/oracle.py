@@ -424,6 +424,34 @@ for name, label in {
     count(*) AS record_count
 FROM (SELECT {label} AS period, total_amount FROM src) GROUP BY period"""
     )
+_TEXT_FORMS = {
+    "month_first": ("M/d/yyyy", "%m/%d/%Y", "strftime(order_date, '%m/%d/%Y')"),
+    "day_first": (
+        "d/M/yyyy", "%d/%m/%Y",
+        "CASE WHEN order_status = 'P' THEN 'unknown' ELSE strftime(order_date, '%-d/%-m/%Y') END",
+    ),
+    "named_month": ("d MMM yyyy", "%d %b %Y", "strftime(order_date, '%-d %b %Y')"),
+    "some_iso": (
+        "ISO", "%Y-%m-%d", "CASE WHEN order_priority <> '1-URGENT' THEN strftime(order_date, '%Y-%m-%d') END",
+    ),
+}
+ORACLE["date_format_election"] = over(
+    "\nUNION ALL ".join(
+        f"""SELECT '{column}' AS "column", '{form}' AS date_format, count(*) AS value_count,
+    count(try_strptime(t, '{pattern}')) AS parsed_count,
+    round((count(*) - count(try_strptime(t, '{pattern}'))) * 100.0::DOUBLE / count(*), 6) AS not_parsed_percentage
+FROM (SELECT {text} AS t FROM src) WHERE t IS NOT NULL"""
+        for column, (form, pattern, text) in _TEXT_FORMS.items()
+    )
+)
+ORACLE["segment_month_of_texts"] = over(
+    f"""SELECT strftime(order_date, '%Y-%m') AS day_first, {money_sum("total_amount")} AS value,
+    count(*) AS record_count FROM src WHERE order_status <> 'P' GROUP BY strftime(order_date, '%Y-%m')"""
+)
+ORACLE["details_as_json"] = over(
+    """SELECT customer_id, order_date, CAST(json_object('order_id', order_id, 'customer_id', customer_id,
+    'order_status', order_status, 'order_priority', order_priority) AS VARCHAR) AS details FROM wh_nulls"""
+)
 ORACLE["segment_by_month_and_priority"] = over(
     f"""SELECT order_priority, period AS order_date, {money_sum("total_amount")} AS value,
     count(*) AS record_count

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosstally.functions.periods import ELECTED, date_formats
 from crosstally.functions.predicates import apply_filters
 from crosstally.functions.text import (
-    has_whole_words, normal_text, redact, shorten, signed_amount,
+    has_whole_words, json_details, normal_text, redact, shorten, signed_amount,
 )
 from crosstally.operators import bridge, compare, duplicates, impact, matching, profile
 from crosstally.operators import relationships as related
@@ -427,6 +429,40 @@ def segment_year(spark, sf_dir):
     return _period(spark, sf_dir, "year")
 
 
+def _dates_as_texts(spark, sf_dir):
+    """The orders with their date as texts of several forms, some of them not dates."""
+    form = lambda pattern: F.date_format("order_date", pattern)
+    return src(spark, sf_dir).withColumns({
+        "month_first": form("MM/dd/yyyy"),
+        "day_first": F.when(F.col("order_status") == "P", "unknown").otherwise(form("d/M/yyyy")),
+        "named_month": form("d MMM yyyy"),
+        "some_iso": F.when(F.col("order_priority") != "1-URGENT", form("yyyy-MM-dd")),
+    })
+
+
+@query
+def date_format_election(spark, sf_dir):
+    rows = _dates_as_texts(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [
+        date_formats(rows, c).limit(1).withColumn("column", F.lit(c))
+        for c in ("month_first", "day_first", "named_month", "some_iso")
+    ])
+
+
+@query
+def segment_month_of_texts(spark, sf_dir):
+    return segments.segment_groups(
+        _dates_as_texts(spark, sf_dir), None, "total_amount", "sum", "day_first", "Month", ELECTED, MONEY
+    )
+
+
+@query
+def details_as_json(spark, sf_dir):
+    rows = wh_nulls(spark, sf_dir)
+    columns = ["order_id", "customer_id", "order_status", "order_priority"]
+    return rows.select("customer_id", "order_date", json_details(rows, columns).alias("details"))
+
+
 @query
 def segment_by_month_and_priority(spark, sf_dir):
     return segments.segment_analysis(
