@@ -493,6 +493,30 @@ FROM p WHERE difference <> 0""",
     p=paired("wh_drift"),
 )
 
+_DIMENSIONS = {"order_status": "order_status", "order_priority": "order_priority", "order_year": "CAST(year(order_date) AS VARCHAR)"}
+
+
+def _of_dimensions(side: str) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{name}' AS dimension, {segment} AS segment, {money_sum("total_amount")} AS value
+    FROM {side} GROUP BY {segment}""" for name, segment in _DIMENSIONS.items()
+    )
+
+
+ORACLE["localize_dimensions"] = over(
+    """SELECT dimension, CAST(row_number() OVER (ORDER BY d = 0, d, dimension) AS INTEGER) AS rank, segment_count,
+    d AS differing_segment_count, d = 1 AS is_localized, top.segment AS segment, top.difference AS difference
+FROM (SELECT dimension, count(*) AS segment_count, count(*) FILTER (WHERE difference <> 0) AS d,
+    arg_min({'segment': segment, 'difference': difference}, nth) FILTER (WHERE difference <> 0) AS top
+  FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY abs(difference) DESC, segment NULLS LAST) AS nth FROM gaps)
+  GROUP BY dimension)""",
+    side_a=_of_dimensions("src"),
+    side_b=_of_dimensions("wh_drift"),
+    gaps="""SELECT coalesce(x.dimension, y.dimension) AS dimension, coalesce(x.segment, y.segment) AS segment,
+    round(coalesce(x.value, 0.0) - coalesce(y.value, 0.0), 6) AS difference
+    FROM side_a x FULL JOIN side_b y ON x.dimension = y.dimension AND x.segment IS NOT DISTINCT FROM y.segment""",
+)
+
 # Impact --------------------------------------------------------------------------------------
 
 

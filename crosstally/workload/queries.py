@@ -535,6 +535,17 @@ def localize_segment(spark, sf_dir):
     )
 
 
+DIMENSIONS = ("order_status", "order_priority", "order_year")
+
+
+@query
+def localize_dimensions(spark, sf_dir):
+    sides = [
+        df.withColumn("order_year", F.year("order_date")) for df in (src(spark, sf_dir), wh_drift(spark, sf_dir))
+    ]
+    return segments.localize_dimensions(*sides, DIMENSIONS, "total_amount", scale=MONEY)
+
+
 # Impact --------------------------------------------------------------------------------------
 
 PERCENTAGES = ("affected_percentage", "primary_segment_percentage")

@@ -134,3 +134,29 @@ def test_sums_do_not_depend_on_partitions(spark):
     df = spark.range(5000).select((F.rand(3) * 1e13).alias("v"))
     sums = {one(df.repartition(n).agg(aggregate_column(df, "v", "sum", 2).alias("s")))["s"] for n in (1, 7, 211)}
     assert len(sums) == 1
+
+
+def test_the_dimension_that_localises_comes_first(frame):
+    schema = "region string, kind int, `odd name` boolean, v double"
+    a = frame(schema, ("n", 1, True, 5.0), ("n", 2, False, 1.0), ("s", 1, True, 2.0), (None, 2, None, 3.0))
+    b = frame(schema, ("n", 1, True, 4.0), ("n", 2, False, 3.0), ("s", 1, True, 2.0), (None, 2, None, 3.0))
+    found = rows(segments.localize_dimensions(a, b, ["kind", "region", "odd name"], "v", scale=2).orderBy("rank"))
+    assert found == [
+        ("region", 1, 3, 1, True, "n", -1.0),
+        ("kind", 2, 2, 2, False, "2", -2.0),
+        ("odd name", 3, 3, 2, False, "false", -2.0),
+    ]
+    for name, _, count, differing, localized, _, _ in found:
+        one_by_one = segments.localize_segment(a, b, name, "v", scale=2).collect()
+        assert len(one_by_one) == differing and all(r["is_localized"] == localized for r in one_by_one)
+
+
+def test_dimensions_without_a_gap(frame):
+    df = frame("region string, v double", ("n", 1.0), (None, 2.0))
+    assert rows(segments.localize_dimensions(df, df, ["region"], "v")) == [
+        ("region", 1, 2, 0, False, None, None)
+    ]
+    counts = segments.localize_dimensions(df, df.limit(1), ["region"], None, "count")
+    assert one(counts)["differing_segment_count"] == 1
+    with pytest.raises(ReconcileInputError):
+        segments.localize_dimensions(df, df, [], "v")
