@@ -21,8 +21,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     )
     learning = ~quality.held_out(F.col("doc_id"))
     model = quality.learn(docs.select("doc_id", "text").where(learning), labels.where(learning))
-    scored = quality.score(docs, model, docs.columns)
-    return scored.where(F.col("score") >= quality.LEAST_SCORE).drop("score")
+    # Columns travel by number, so none can clash with the score.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    scored = quality.score(plain, model, plain.columns, plain.columns[docs.columns.index("text")])
+    return scored.where(F.col("score") >= quality.LEAST_SCORE).drop("score").toDF(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least id, of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    return minhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

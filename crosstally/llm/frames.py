@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,16 @@ class Scratch:
         self._kept.clear()
 
 
+def released() -> None:
+    """Gives memory that a finished task freed back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Not every C library has it.
+        pass
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -7,24 +7,29 @@ rank_h are the intervals of the suffix array whose longest common prefix is at l
 that are alone in their group are settled and leave; doubling ends when no group can split, so the
 work follows the repeated lines, not the corpus.
 
-In an interval all but the first suffix, in corpus order, begin a later copy. Where a copy begins that
-does not continue the copy one line before it, its full length (the longest common prefix with
-its first occurrence) is read off by descending the levels. These are the maximal repeated runs;
-those of ``min_lines`` lines or more are deleted, and every distinct line keeps its first occurrence.
-
-Defined results: ``min_lines`` is a power of two; null texts stay null, empty ones empty; blank lines
-(ASCII white space only) join no run and go with the deleted line before them; rows of equal id but
-different texts are separate documents, ordered by a hash of the text; rows equal in both are cut
-alike, as one document; an empty table gives no rows; other columns stay as they are.
+In an interval all but the first suffix, in corpus order, begin a later copy of the first. Where the next
+suffix continues that copy it belongs to the same run; a run's full length (the longest common prefix with
+its first occurrence) is the length of this chain, the depth of its last suffix, and what the levels below that
+depth add. These are the maximal repeated runs. Those of ``min_lines`` lines or more are deleted, and
+outside them, as runs of one, later copies of single lines of at least ``min_chars`` characters (code points):
+a long line that is repeated alone goes, a short one stays. Every distinct line keeps its first occurrence.
+
+Defined results: ``min_lines`` is a power of two; ``min_chars`` None leaves single lines alone; null texts stay
+null, empty ones empty; blank lines (ASCII white space only) join no run and go with the deleted line before
+them; rows of equal id but different texts are separate documents, ordered by a hash of the text; rows equal in
+both are cut alike, as one document; an empty table gives no rows; other columns stay as they are, whatever
+their names, but for columns named like the two figures of ``dedup_lines``, which these replace.
 
 Scale: lines travel as two 64-bit hashes, only those that repeat. Ranks are sums over groups cut
 into buckets of bounded size, so no frequent line is sorted in one task. Every level is a table in
-the shared folder. Texts are shuffled once, to meet the lists of deleted lines.
+the shared folder. The repeated suffixes of one document are chained in one task. Texts are shuffled once, to
+meet the lists of deleted lines.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,8 +40,9 @@ from crosstally.functions.types import quoted
 from crosstally.llm.frames import Scratch, bucket_bits, running_sum, stored
 
 MIN_LINES = 2
-RANKS_PER_BUCKET = 4096
-BLANK = r"^[\x20\x09-\x0D]*$"
+MIN_CHARS = 120
+RANKS_PER_BUCKET = 65536
+BLANKS = " \t\n\x0b\x0c\r"
 _BLANK = re.compile(r"[\x20\x09-\x0D]*\Z")
 
 
@@ -49,20 +55,26 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.alias("doc_id"), F.xxhash64(text).alias("h"))
 
 
-def numbered_lines(docs: DataFrame) -> DataFrame:
-    """doc, place, lines, h1, h2 of every line that is not blank; ``place`` counts those from 0."""
-    told = F.transform(_lines(F.col("text")), lambda x: F.when(~x.rlike(BLANK), F.struct(
-        F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x, F.length(x)).alias("h2"))))
+def numbered_lines(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
+    """doc, place, lines, h1, h2, long of every line that is not blank; ``place`` counts those from 0.
+
+    ``long`` tells that the line has ``min_chars`` characters or more.
+    """
+    size = F.length
+    told = F.transform(_lines(F.col("text")), lambda x: F.when(F.btrim(x, F.lit(BLANKS)) != "", F.struct(
+        F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x, size(x)).alias("h2"),
+        (F.lit(False) if min_chars is None else size(x) >= min_chars).alias("long"))))
     kept = F.filter(told, lambda x: x.isNotNull())
     return (
         docs.select("doc", kept.alias("kept"))
         .select("doc", F.size("kept").alias("lines"), F.posexplode("kept").alias("place", "h"))
-        .select("doc", "place", "lines", "h.h1", "h.h2")
+        .select("doc", "place", "lines", "h.h1", "h.h2", "h.long")
     )
 
 
 def _first_ranks(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc, place, lines, rank of the lines that occur more than once: rank_1, by hash order."""
+    """doc, place, lines, long, rank of the lines that occur more than once: rank_1, by hash order."""
+    lines = scratch.stored(lines, "lines")
     repeated = scratch.stored(
         lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-lines"
     )
@@ -72,7 +84,7 @@ def _first_ranks(lines: DataFrame, scratch: Scratch) -> DataFrame:
         repeated.withColumn("bucket", bucket).withColumn("all", F.lit(0)),
         ["all"], "bucket", ["h1", "h2"], "n", "before",
     ).select("h1", "h2", (F.col("before") + 1).alias("rank"))
-    return lines.join(ranked, ["h1", "h2"]).select("doc", "place", "lines", "rank")
+    return lines.join(ranked, ["h1", "h2"]).select("doc", "place", "lines", "long", "rank")
 
 
 def _doubled(level: DataFrame, step: int, scratch: Scratch) -> DataFrame:
@@ -103,10 +115,15 @@ def _doubled(level: DataFrame, step: int, scratch: Scratch) -> DataFrame:
     )
 
 
-def suffix_levels(docs: DataFrame, kept: Scratch) -> list[tuple[int, DataFrame]]:
-    """[(h, table of doc, place, lines, rank)]: rank_h for h = 1, 2, 4, ... of shared suffixes."""
+def suffix_levels(
+    docs: DataFrame, kept: Scratch, min_chars: int | None = None
+) -> list[tuple[int, DataFrame]]:
+    """[(h, table of doc, place, lines, rank)]: rank_h for h = 1, 2, 4, ... of shared suffixes.
+
+    The first table also has ``long``, see ``numbered_lines``.
+    """
     passing = Scratch()
-    level = kept.stored(_first_ranks(numbered_lines(docs), passing), "level-1")
+    level = kept.stored(_first_ranks(numbered_lines(docs, min_chars), passing), "level-1")
     passing.drop()
     levels, step = [(1, level)], 1
     while True:
@@ -121,72 +138,84 @@ def suffix_levels(docs: DataFrame, kept: Scratch) -> list[tuple[int, DataFrame]]
             return levels
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc, place, length, first_doc, first_place: maximal later copies of ``min_lines`` or more."""
+def repeated_runs(
+    docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int | None = MIN_CHARS
+) -> DataFrame:
+    """doc, place, length, first_doc, first_place: maximal later copies.
+
+    Of ``min_lines`` lines or more; outside them single lines of ``min_chars`` characters or more.
+    """
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
     kept = Scratch()
-    levels = suffix_levels(docs, kept)
-    usable = [(h, table) for h, table in levels if h >= min_lines]
+    levels = suffix_levels(docs, kept, min_chars)
     where = F.struct("doc", "place")
-    later = None
-    for h, table in usable:
+    later = []
+    for h, table in levels:
         # A suffix that ends sooner is as deep as it is long.
         depth = F.least(F.lit(h), F.col("lines") - F.col("place"))
+        if h < min_lines:
+            if h > 1:
+                continue
+            table, depth = table.where("long"), F.lit(1)
+        else:
+            table = table.where(depth >= min_lines)
         first = table.groupBy("rank").agg(F.min(where).alias("first"))
-        own = table.join(first, "rank").where((where > F.col("first")) & (depth >= min_lines)).select(
-            "doc", "place", depth.alias("h"), "first"
-        )
-        later = own if later is None else later.unionByName(own)
-    if later is None:
-        later = levels[0][1].where("false").select(
-            "doc", "place", F.lit(0).alias("h"), where.alias("first")
+        later.append(
+            table.join(first, "rank").where((where > F.col("first")))
+            .select("doc", "place", depth.alias("h"), "first")
         )
-    # The deepest interval of each later copy, and where the copy one line before it lies.
-    deepest = later.groupBy("doc", "place").agg(F.max(F.struct("h", "first")).alias("top")).select(
+    # The deepest interval of each later copy.
+    deepest = reduce(DataFrame.unionByName, later).groupBy("doc", "place").agg(
+        F.max(F.struct("h", "first")).alias("top")
+    ).select(
         "doc", "place", "top.h", F.col("top.first.doc").alias("first_doc"),
         F.col("top.first.place").alias("first_place"),
     )
-    before = deepest.select(
-        "doc", (F.col("place") + 1).alias("place"), F.col("first_doc").alias("doc_before"),
-        (F.col("first_place") + 1).alias("place_before"), F.lit(None).cast("int").alias("h"),
-        F.lit(None).cast(deepest.schema["first_doc"].dataType).alias("first_doc"),
-        F.lit(None).cast("int").alias("first_place"),
+    along = Window.partitionBy("doc").orderBy("place")
+    continues = (
+        (F.lag("place").over(along) + 1 == F.col("place"))
+        & F.lag("first_doc").over(along).eqNullSafe(F.col("first_doc"))
+        & (F.lag("first_place").over(along) + 1 == F.col("first_place"))
     )
-    own = deepest.withColumn("doc_before", F.lit(None).cast(deepest.schema["first_doc"].dataType)).withColumn(
-        "place_before", F.lit(None).cast("int")
+    chained = deepest.withColumn("starts", (~F.coalesce(continues, F.lit(False))).cast("int")).withColumn(
+        "chain", F.sum("starts").over(along)
     )
-    both = own.unionByName(before).groupBy("doc", "place").agg(
-        *[F.max(c).alias(c) for c in ("h", "first_doc", "first_place", "doc_before", "place_before")]
-    )
-    continues = F.col("first_doc").eqNullSafe(F.col("doc_before")) & F.col("first_place").eqNullSafe(F.col("place_before"))
+    step = F.max_by("h", "place")
     runs = kept.stored(
-        both.where(F.col("h").isNotNull() & ~continues)
-        .select("doc", "place", "first_doc", "first_place", F.col("h").alias("length")),
-        "run-starts",
+        chained.groupBy("doc", "chain").agg(
+            F.min("place").alias("place"), F.first("first_doc").alias("first_doc"),
+            F.min("first_place").alias("first_place"), step.alias("open"),
+            (F.max("place") - F.min("place") + step).alias("length"),
+        ).drop("chain"),
+        "chains",
     )
+    # A chain goes on for less than the depth of its last suffix, so only lower levels can add to it.
+    deepest_end = runs.agg(F.max("open")).first()[0] or 1
     for h, table in reversed(levels):
-        runs = kept.stored(_extended(runs, table, h), f"extended-{h}")
-    runs = stored(runs, "runs")
+        if h < deepest_end:
+            runs = kept.stored(_extended(runs, table, h), f"extended-{h}")
+    runs = stored(runs.drop("open"), "runs")
     kept.drop()
     return runs
 
 
 def _extended(runs: DataFrame, table: DataFrame, step: int) -> DataFrame:
-    """Runs grow by ``step`` lines where both sides go on with the same ``step`` lines.
-
-    A run is at least as long as its interval's depth and less than twice that, so deeper levels are
-    passed over and each lower one is taken at most once.
-    """
-    at = runs.withColumn("p", F.col("place") + F.col("length")).withColumn("q", F.col("first_place") + F.col("length"))
-    one = table.select(
-        "doc", F.col("place").alias("p"), F.col("rank").alias("rank_p"),
-        F.least(F.lit(step), F.col("lines") - F.col("place")).alias("depth"),
+    """Runs that may go on by ``step`` lines do, where both sides have the same ``step`` lines."""
+    may = F.col("open") > step
+    at = runs.where(may).withColumn("p", F.col("place") + F.col("length")).withColumn(
+        "q", F.col("first_place") + F.col("length")
+    )
+    # Equal rows of one id have equal suffixes, of which one is enough.
+    one = table.groupBy("doc", F.col("place").alias("p")).agg(
+        F.max("rank").alias("rank_p"), F.max(F.least(F.lit(step), F.col("lines") - F.col("place"))).alias("depth")
     )
-    two = table.select(F.col("doc").alias("first_doc"), F.col("place").alias("q"), F.col("rank").alias("rank_q"))
+    two = table.groupBy(F.col("doc").alias("first_doc"), F.col("place").alias("q")).agg(F.max("rank").alias("rank_q"))
     met = at.join(one, ["doc", "p"], "left").join(two, ["first_doc", "q"], "left")
     grown = F.when(F.col("rank_p") == F.col("rank_q"), F.col("depth")).otherwise(0)
-    return met.select("doc", "place", "first_doc", "first_place", (F.col("length") + grown).alias("length"))
+    return runs.where(~may).unionByName(met.select(*[
+        (F.col("length") + grown).alias(c) if c == "length" else F.col(c) for c in runs.columns
+    ]))
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -224,7 +253,8 @@ def _cut(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, min_lines: int = MIN_LINES, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int | None = MIN_CHARS,
+    doc_id: str = "doc_id", text: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
     """The documents without later copies of line runs, and the runs.
 
@@ -233,17 +263,18 @@ def dedup_lines(
     and a hash of the text.
     """
     key = row_key(quoted(doc_id), quoted(text))
-    runs = repeated_runs(docs.select(key.alias("doc"), quoted(text).alias("text")), min_lines)
+    runs = repeated_runs(docs.select(key.alias("doc"), quoted(text).alias("text")), min_lines, min_chars)
     span = F.struct("place", (F.col("place") + F.col("length")).alias("stop"))
-    spans = (
-        runs.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list(span).alias("__spans"))
-    )
-    cut = (
-        # The lists grow with the corpus, so texts meet them in a shuffle at every size.
-        docs.withColumn("__doc", key).join(spans.hint("merge"), "__doc", "left")
-        .withColumn("__cut", _cut(quoted(text), F.col("__spans.place"), F.col("__spans.stop")))
-        .withColumns({
-            text: F.col("__cut.text"), "__n_lines": F.col("__cut.n_lines"), "__n_removed": F.col("__cut.n_removed"),
-        })
+    spans = runs.groupBy("doc").agg(F.collect_list(span).alias("spans"))
+    whole = docs.select(key.alias("doc"), F.struct(*map(quoted, docs.columns)).alias("row"))
+    field = F.col("row").getField
+    # The lists grow with the corpus, so texts meet them in a shuffle at every size.
+    cut = whole.join(spans.hint("merge"), "doc", "left").withColumn(
+        "cut", _cut(field(text), F.col("spans.place"), F.col("spans.stop"))
     )
-    return cut.drop("__doc", "__spans", "__cut"), runs
+    figures = {"__n_lines": F.col("cut.n_lines"), "__n_removed": F.col("cut.n_removed")}
+    kept = [c for c in docs.columns if c not in figures]
+    return cut.select(
+        *[(F.col("cut.text") if c == text else field(c)).alias(c) for c in kept],
+        *[value.alias(c) for c, value in figures.items()],
+    ), runs

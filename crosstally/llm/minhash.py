@@ -19,7 +19,8 @@ as set; above it the odds fall quickly.
 Defined results: null and wordless texts have no shingles and are linked with nothing; a text of
 fewer words than a shingle is one shingle of all its words; rows of equal id stand for one document
 of the same text or, where their texts differ, are judged row by row; an empty table gives no rows;
-other columns are ignored. A null id is kept; it cannot name a component that has another id.
+other columns are ignored. A null id is kept and its text links others; it cannot name a component that has
+another id.
 
 Scale: texts are read twice (signatures; sets of the classes that share a bucket). Everything
 else moves digests. Groups of copies collapse in map-side aggregates. Joins on a hot bucket, class
@@ -36,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosstally.llm.frames import Scratch, picked, stored
+from crosstally.functions.types import quoted
+from crosstally.llm.frames import WORD, Scratch, picked, released, stored
 from crosstally.llm.graph import components
 from crosstally.llm.shingles import Shingler, mixed
 
@@ -99,11 +101,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(band_keys(signature(found)) if len(found) else None)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"), pa.array(sizes, pa.int64()),
+                batch.column("doc_id"), batch.column("h"), pa.array(sizes, pa.int64()),
                 pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
             ],
-            ["doc_id", "n_shingles", "class", "keys"],
+            ["doc_id", "h", "n_shingles", "class", "keys"],
         )
+    released()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +120,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             ["class", "shingles"],
         )
+    released()
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +134,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared = int((v[np.minimum(at, len(v) - 1)] == u).sum())
             keep.append(100 * shared >= round(100 * THRESHOLD) * (len(u) + len(v) - shared))
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+    released()
 
 
 def _between(table: pa.Table) -> pa.Table:
@@ -173,10 +178,13 @@ def _similar_sizes(pairs: DataFrame) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """class, shingles of the given classes (class, member), from their members' texts."""
+    """class, shingles of the given classes (class, member), from their members' texts.
+
+    A class has no member to look up if none has an id, so texts without an id are all read.
+    """
     texts = docs.join(classes.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi")
     return (
-        texts.select("text").mapInArrow(_sets, "class binary, shingles binary")
+        texts.unionByName(docs.where("doc_id is null")).select("text").mapInArrow(_sets, "class binary, shingles binary")
         .join(classes.select("class"), "class", "left_semi")
         .groupBy("class").agg(F.any_value("shingles").alias("shingles"))
     )
@@ -226,13 +234,12 @@ def _missed(
     return rows.groupBy("band", "key", "part", "lane").applyInArrow(_between, "u binary, v binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable), kept; one row per input row."""
-    docs = picked(docs, doc_id=doc_id, text=text)
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, h, n_shingles, class), classes (class, ...) and components (node, component) of docs."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = stored(
-        docs.mapInArrow(
-            _signed, f"doc_id {id_type}, n_shingles long, class binary, keys array<long>"
+        docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(
+            _signed, f"doc_id {id_type}, h long, n_shingles long, class binary, keys array<long>"
         ),
         "signed",
     )
@@ -261,16 +268,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     missed = scratch.stored(_missed(crowded, found, sets, scratch), "missed")
     found = stored(components(links.union(missed), "all-joined"), "all-components")
     scratch.drop()
+    return signed, classes.select("class"), found
 
-    named = worded.select("class", "doc_id").distinct().join(
-        found.withColumnRenamed("node", "class"), "class", "left"
-    ).withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = (
-        classes.select("class").join(found.withColumnRenamed("node", "class"), "class", "left")
-        .withColumn("component", F.coalesce("component", "class"))
-        .join(least, "component").select("class", "component_id")
+
+def _component_of(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """class, component: a class without links is a component of its own."""
+    return classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn(
+        "component", F.coalesce("component", "class")
     )
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id reachable), kept; one row per input row."""
+    signed, classes, found = _grouped(picked(docs, doc_id=doc_id, text=text))
+    worded = signed.where("class is not null")
+    named = _component_of(worded.select("class", "doc_id").distinct(), found)
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = _component_of(classes, found).join(least, "component").select("class", "component_id")
     with_words = worded.select("doc_id", "n_shingles", "class").join(of_class, "class").drop("class")
     without = signed.where("class is null").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
@@ -279,3 +293,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "doc_id", "n_shingles", "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, in the columns of ``docs``; all rows without words stay.
+
+    It is a row of the least id, of the least text hash where one id has several texts of the group;
+    of rows equal in both, the one of least hash over all columns. Rows without an id come last.
+    """
+    signed, _, found = _grouped(picked(docs, doc_id=doc_id, text=text))
+    counted = signed.where("class is not null").groupBy("class", "doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "n")).alias("top")
+    chosen = stored(
+        _component_of(counted, found).groupBy("component").agg(first).select("top.doc_id", "top.h", "top.n"), "chosen"
+    )
+    whole = docs.select(
+        quoted(doc_id).alias("id"), F.xxhash64(quoted(text)).alias("hash"),
+        (~F.coalesce(quoted(text), F.lit("")).rlike(WORD)).alias("empty"),
+        F.struct(*map(quoted, docs.columns)).alias("row"),
+    )
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("h"))
+    single = whole.join(chosen.where("n = 1"), same, "left_semi").where("not empty").select("row")
+    several = (
+        whole.where("not empty").join(chosen.where("n > 1"), same, "inner").groupBy("doc_id", "h")
+        .agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    )
+    kept = whole.where("empty").select("row").unionByName(single).unionByName(several)
+    field = F.col("row").getField
+    return kept.select(*[field(c).alias(c) for c in docs.columns])

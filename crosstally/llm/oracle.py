@@ -13,6 +13,10 @@ marked AS (
 numbered AS (
   SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place
   FROM marked WHERE full_line),
+long_later AS (
+  SELECT doc_id, place FROM (
+    SELECT doc_id, place, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS nth
+    FROM numbered WHERE length(line) >= 120) WHERE nth > 1),
 pairs AS (
   SELECT doc_id, place, line, lead(line) OVER (PARTITION BY doc_id ORDER BY place) AS next FROM numbered),
 later AS (
@@ -21,7 +25,8 @@ later AS (
     FROM pairs WHERE next IS NOT NULL) WHERE nth > 1),
 gone AS (
   SELECT DISTINCT doc_id, place FROM (
-    SELECT doc_id, place FROM later UNION ALL SELECT doc_id, place + 1 FROM later)),
+    SELECT doc_id, place FROM later UNION ALL SELECT doc_id, place + 1 FROM later
+    UNION ALL SELECT doc_id, place FROM long_later)),
 fate AS (
   SELECT m.doc_id, m.i, m.line, m.full_line, n.place, g.place IS NOT NULL AS removed
   FROM marked m LEFT JOIN numbered n ON n.doc_id = m.doc_id AND n.i = m.i

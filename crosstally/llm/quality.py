@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosstally.llm.frames import picked
+from crosstally.llm.frames import picked, released
 from crosstally.llm.shingles import mixed
 
 FEATURE_BITS = 18
@@ -224,17 +224,18 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     )
 
 
-def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
+def score(docs: DataFrame, model: Model, carry: list[str], text: str = "text") -> DataFrame:
     """The columns ``carry`` of ``docs`` and ``score`` of its column ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            scores = [own.score(features(t.as_py())) for t in batch.column("text")]
+            scores = [own.score(features(t.as_py())) for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in carry], pa.array(scores, pa.float64())], [*carry, "score"]
             )
+        released()
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     return docs.mapInArrow(scored, f"{kinds}, score double")

@@ -8,6 +8,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from crosstally.llm import chunk_dedup, decontamination, graph, line_dedup, minhash
 from crosstally.llm.frames import Scratch
 from crosstally.llm.queries import QUERIES
@@ -78,6 +80,30 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert all(r["kept"] == (d == r["component_id"]) for d, r in found.items())
 
 
+def test_texts_without_an_id_link_and_are_linked(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:k], "x", *words[k + 1 :]]) for k in (0, 30, 59)]
+    # 1 and 2 differ by two words of 60; the text without an id differs from each by one.
+    rows = [(5, " ".join(words)), (None, near[0]), (None, near[2]), (9, "other words only, and enough of them here")]
+    found = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert found == {(5, 5, True), (None, 5, False), (9, 9, True)}
+
+
+def test_one_row_of_each_group_is_kept(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [
+        (1, a), (1, a), (2, a + " end"), (2, b), (3, b), (None, c), (None, c), (None, c + " end"),
+        (4, None), (4, ""), (4, ""), (5, "short"), (5, "short"),
+    ]
+    docs = frame(spark, rows).select("*", F.lit(1).alias("h"), F.lit(2).alias("n"), F.lit(3).alias("component"), F.lit(4).alias("row"))
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert [x for x in found if x[0] is not None] == [(1, a), (2, b), (4, ""), (4, ""), (4, None), (5, "short")]
+    assert len([x for x in found if x[0] is None]) == 1
+    assert minhash.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_repeated_null_and_missing_rows(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "z"), (1, "other words")]
@@ -130,8 +156,8 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long"), "t").count() == 0
 
 
-def lines_by_hand(rows, min_lines):
-    """(doc_id, text, n_lines, n_removed) by looking at every window of ``min_lines`` lines."""
+def lines_by_hand(rows, min_lines, min_chars=120):
+    """(doc_id, text, n_lines, n_removed) by looking at every window of ``min_lines`` lines and every long line."""
     docs = sorted({(i, t) for i, t in rows if t is not None})
     seen, gone = set(), {}
     for doc, (_, text) in enumerate(docs):
@@ -142,6 +168,11 @@ def lines_by_hand(rows, min_lines):
             if window in seen:
                 gone[doc].update(range(p, p + min_lines))
             seen.add(window)
+        for p, x in enumerate(own):
+            if len(x) >= min_chars:
+                if ("long", x) in seen:
+                    gone[doc].add(p)
+                seen.add(("long", x))
     out = {}
     for doc, (doc_id, text) in enumerate(docs):
         kept, place, dropping = [], 0, False
@@ -173,6 +204,24 @@ def test_line_dedup_equals_brute_force(spark, min_lines):
     assert [(r["place"], r["length"], r["first_doc"]["doc_id"], r["first_place"]) for r in longest] == [(0, 70, 103, 0)]
 
 
+@pytest.mark.parametrize("min_lines", [1, 2, 4])
+def test_long_lines_that_are_repeated_alone_go(spark, min_lines):
+    rng = random.Random(10 + min_lines)
+    pool = [x * n for x in "abcd" for n in (1, 4, 5, 6)]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"u{rng.random()}" for _ in range(rng.randint(0, 9)))) for i in range(80)]
+    cut, _ = line_dedup.dedup_lines(frame(spark, rows), min_lines, min_chars=5)
+    found = {r["doc_id"]: (r["text"], r["__n_lines"], r["__n_removed"]) for r in cut.collect()}
+    assert found == {d: x for (d, _), x in lines_by_hand(rows, min_lines, 5).items()}
+
+
+def test_line_dedup_beside_columns_of_its_own_names(spark):
+    names = ["doc", "spans", "cut", "row", "__doc", "__spans", "__cut", "h", "place"]
+    docs = frame(spark, [(1, "a\nb"), (2, "a\nb\nc")]).select("*", *[F.lit(n).alias(n) for n in names])
+    cut, _ = line_dedup.dedup_lines(docs)
+    assert cut.columns == ["doc_id", "text", *names, "__n_lines", "__n_removed"]
+    assert sorted(map(tuple, cut.select("doc_id", "text", *names).collect())) == [(1, "a\nb", *names), (2, "c", *names)]
+
+
 def test_line_dedup_of_odd_rows(spark):
     assert line_dedup.dedup_lines(frame(spark, []))[0].count() == 0
     rows = [(1, None), (2, ""), (None, "a\nb\nc"), (3, "a\nb\nc"), (3, "a\nb\nc"), (3, "x\ny"), (4, "\n\n"), (5, "x\ny\n\nend")]
