@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosstally.llm.frames import picked, released
+from crosstally.llm.sampling import labelled_sample
 from crosstally.llm.shingles import mixed
 
 FEATURE_BITS = 18
@@ -199,21 +200,12 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1).
 
-    Takes at most ``per_class`` rows of each label, the first by md5 of the id.
+    Takes at most ``per_class`` texts of each label, the first by md5 of the id, see ``labelled_sample``.
     """
     labels = labels.where("label in (0, 1)")
-    labelled = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.md5(F.col("doc_id").cast("string"))
-    ids = [
-        r
-        for label in sorted(counts)
-        for r in labelled.where(F.col("label") == label).select("doc_id", "label").orderBy(order, "doc_id").limit(per_class).collect()
-    ]
-    if not ids:
+    texts, counts = labelled_sample(docs, labels, per_class)
+    if texts is None:
         return fit([], np.empty(0), counts)
-    sample = docs.sparkSession.createDataFrame(ids, labelled.select("doc_id", "label").schema)
-    texts = docs.join(F.broadcast(sample), "doc_id").select("label", "text")
     rows = texts.mapInArrow(_featured, "label int, found binary").collect()
     rows.sort(key=lambda r: (r["found"], r["label"]))
     rng = np.random.default_rng(0)

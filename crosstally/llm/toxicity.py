@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosstally.llm.frames import picked
+from crosstally.llm.sampling import labelled_sample
 from crosstally.llm.shingles import mixed
 
 PER_CLASS = 2500
@@ -168,18 +169,9 @@ def learn(
 ) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1)."""
     labels = labels.where("label in (0, 1)")
-    labelled = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.md5(F.col("doc_id").cast("string"))
-    ids = [
-        r
-        for label in sorted(counts)
-        for r in labelled.where(F.col("label") == label).select("doc_id", "label").orderBy(order, "doc_id").limit(per_class).collect()
-    ]
-    if not ids:
+    texts, counts = labelled_sample(docs, labels, per_class)
+    if texts is None:
         return fit([], np.empty(0, int), np.empty(0))
-    sample = docs.sparkSession.createDataFrame(ids, labelled.select("doc_id", "label").schema)
-    texts = docs.join(F.broadcast(sample), "doc_id").select("label", "text")
     got = sorted(texts.mapInArrow(_worded, "label int, found binary").collect(), key=lambda r: (r["label"], r["found"]))
     rows = [np.frombuffer(r["found"], np.uint64) for r in got]
     toxic = np.array([r["label"] for r in got])

@@ -11,7 +11,8 @@ training URLs then judge the URLs without a rule.
 Defined results: a URL without ``://``, or null, has an empty host and path and no rule; it is judged by its
 whole text, an empty text scores 0; A-Z in hosts are lower-cased; repeated pages are each
 judged; without URLs of both classes every score is 0 and, as the threshold is 0 too, the verdict is
-allow; an empty table gives no rows; other columns are ignored.
+allow; a URL without a rule is judged also where its text, in lower case, equals that of a ruled one; an empty
+table gives no rows; other columns are ignored.
 
 Scale: only built-in functions. Counts of character runs shrink map-side to the distinct runs; the models
 are joined to distinct runs, and to pages once. Distinct URLs are scored once each.
@@ -158,7 +159,7 @@ def judge(
         "ruled",
     )
     urls = stored(
-        told.groupBy("body").agg(F.min("ruling").alias("ruling"))
+        told.groupBy("body").agg(F.min("ruling").alias("ruling"), F.max(F.col("rule").isNull()).alias("free"))
         .withColumn("fold", F.pmod(F.xxhash64("body"), F.lit(HELD_OUT))),
         "urls",
     )
@@ -167,10 +168,10 @@ def judge(
         verdict = F.coalesce("ruling", F.lit("allow"))
         own = F.when(F.col("rule").isNull(), F.lit(0.0))
         return told.select("page_id", "host", "path", "rule", verdict.alias("verdict"), own.alias("score"))
-    runs = _runs(urls, ["body", "ruling", "fold"])
+    runs = _runs(urls, ["body", "ruling", "free", "fold"])
     tried = _scores(runs, F.col("fold") > 0, F.col("ruling").isNotNull() & (F.col("fold") == 0), "held-out", mass)
     threshold = _threshold(tried)
-    scored = _scores(runs, F.lit(True), F.col("ruling").isNull(), "all", mass).select("body", "score")
+    scored = _scores(runs, F.lit(True), F.col("free"), "all", mass).select("body", "score")
     done = told.where("rule is not null").select(
         "page_id", "host", "path", "rule", F.col("ruling").alias("verdict"), F.lit(None).cast("double").alias("score")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from crosstally.llm import chat, fingerprints, mixing, quality, toxicity, urls
 from crosstally.llm.queries import HOSTILE, URL_RULES
+from crosstally.llm.sampling import labelled_sample
 
 DOCS = "doc_id long, text string"
 SOURCED = "doc_id long, text string, source string"
@@ -367,3 +368,26 @@ def test_points_are_the_golden_sequence(spark):
     slots = [0, 1, 2, 3, 65535, 65536, 10**6, 2**32 + 5, 2**40 + 1]
     rows = spark.createDataFrame([(s,) for s in slots], "s long").select("s", mixing.golden_point(F.col("s"))).collect()
     assert all(point == s * mixing.GOLDEN % 2**32 for s, point in rows)
+
+
+def test_labelled_sample_stays_within_its_bound(spark):
+    docs = spark.createDataFrame(
+        [(1, f"text {i}") for i in range(200)] + [(1, "same")] * 50 + [(2, None), (3, "three"), (None, "none")], "doc_id long, text string"
+    )
+    labels = spark.createDataFrame([(1, 1)] * 5 + [(2, 0), (3, 0), (3, 1), (9, 1), (None, 1)], "doc_id long, label int")
+    texts, counts = labelled_sample(docs, labels, 7)
+    found = [(r["label"], r["text"]) for r in texts.collect()]
+    assert counts == {0: 2, 1: 6}
+    assert sorted((x for x in found if not x[0]), key=repr) == [(0, "three"), (0, None)]
+    assert len([x for x in found if x[0]]) == 7 == len({x for x in found if x[0]})
+    assert labelled_sample(docs, labels.limit(0), 7) == (None, {})
+
+
+def test_urls_without_a_rule_are_judged_beside_ruled_ones_of_equal_text(spark):
+    rows = [(i, f"http://a{i}.org/good{i}") for i in range(20)] + [(100 + i, f"http://a{i}.com/de/bad{i}") for i in range(20)]
+    twins = [(500, "http://shop.com/DE/bad3"), (501, "http://shop.com/de/bad3"), (502, "shop.com/de/bad3")]
+    found = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows + twins, "page_id long, url string"), URL_RULES).collect()}
+    assert found[501]["rule"] == "com/de/" and found[501]["score"] is None
+    assert found[500]["rule"] is None and found[502]["rule"] is None
+    assert found[500]["score"] == found[502]["score"] < 0
+    assert len(found) == 43
