@@ -22,10 +22,11 @@ def spark():
 def orders(spark):
     return spark.createDataFrame(
         [
-            ("O1", "2024-08-23", "Web", 100.0),
-            ("O2", "2024-08-24", "Mobile", 200.0),
-            ("O3", "2024-08-25", "Mobile", 300.0),
-            ("O3", "2024-08-25", "Mobile", 300.0),
+            ("A-07", "2025-02-10", "Store", 12.5),
+            ("A-11", "2025-02-10", "Phone", 80.0),
+            ("A-15", "2025-02-12", "Store", 40.0),
+            ("A-19", "2025-02-13", "Phone", 7.5),
+            ("A-19", "2025-02-13", "Phone", 7.5),
         ],
         "order_id string, order_date string, channel string, amount double",
     )
@@ -35,10 +36,12 @@ def orders(spark):
 def payments(spark):
     return spark.createDataFrame(
         [
-            ("P1", "O1", "2024-08-23", "Web", 100.0),
-            ("P2", "O2", "2024-08-24", "Mobile", 200.0),
-            ("P3", "O4", "2024-08-25", "Mobile", 400.0),
-            ("P4", "O5", "2024-08-26", "Partner", 500.0),
+            ("R1", "A-07", "2025-02-11", "Store", 12.5),
+            ("R2", "A-11", "2025-02-14", "Phone", 75.0),
+            ("R3", "A-15", "2025-02-12", "Store", 40.0),
+            ("R4", "A-90", "2025-02-15", "Catalogue", 60.0),
+            ("R5", "A-91", "2025-02-18", "Phone", 20.0),
+            ("R6", "A-92", "2025-02-19", "Phone", 20.0),
         ],
         "payment_id string, order_id string, payment_date string, channel string, amount double",
     )

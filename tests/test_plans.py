@@ -34,18 +34,18 @@ def tools(evidence):
 def test_baseline_on_orders_and_payments(orders, payments):
     found = reconcile(registry(orders=orders, payments=payments))
     names = tools(found)
-    assert len(names) == 8
+    assert len(names) == 9
     assert {t: names.count(t) for t in set(names)} == {
         "compare_aggregates": 1, "find_unmatched_records": 2, "find_duplicates": 2,
-        "compare_rows_by_key": 1, "calculate_business_impact": 2,
+        "compare_rows_by_key": 1, "compare_record_values": 1, "calculate_business_impact": 2,
     }
     by_id = {r["evidence_id"]: r for r in found.collect()}
-    assert sorted(by_id) == [f"E00{i}" for i in range(1, 9)]
+    assert sorted(by_id) == [f"E00{i}" for i in range(1, 10)]
     assert all(r["attempt"] == 0 and len(r["signature"]) == 16 for r in by_id.values())
-    details = json.loads(by_id["E007"]["details"])
-    assert (by_id["E007"]["dataset_a"], details["affected_record_count"], details["affected_amount_sum"]) == ("orders", 2, 600.0)
-    assert details["primary_segment"] == "Mobile"
-    assert details["affected_date_start"] == "2024-08-25T00:00:00"
+    details = json.loads(by_id["E008"]["details"])
+    assert (by_id["E008"]["dataset_a"], details["affected_record_count"], details["affected_amount_sum"]) == ("orders", 2, 15.0)
+    assert details["primary_segment"] == "Phone"
+    assert details["affected_date_start"] == "2025-02-13T00:00:00"
 
 
 def test_baseline_details_follow_the_question(orders, payments):
@@ -156,7 +156,7 @@ def test_reconcile_files(spark, tmp_path, orders, payments):
     write_parquet(payments, str(tmp_path / "payments.parquet"))
     paths = [str(tmp_path / n) for n in ("orders.csv", "payments.parquet")]
     found = reconcile(load_datasets(spark, paths))
-    assert found.count() == 8
+    assert found.count() == 9
     assert {r["dataset_a"] for r in found.collect()} == {"orders.csv", "payments.parquet"}
     for bad in ([], [paths[0], paths[0]]):
         with pytest.raises(ReconcileInputError):

@@ -76,7 +76,7 @@ def test_registry(spark, orders, payments):
     datasets.add("orders", orders, view=True)
     datasets.add("payments", payments)
     assert list(datasets) == ["orders", "payments"] and len(datasets) == 2
-    assert spark.table("orders").count() == 4
+    assert spark.table("orders").count() == 5
     with pytest.raises(ReconcileInputError):
         datasets.add("orders", orders)
     with pytest.raises(ReconcileInputError, match="orders, payments"):
