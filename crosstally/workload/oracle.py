@@ -153,6 +153,10 @@ ORACLE["unmatched_preview"] = over("""
 SELECT order_id, order_status, order_date, total_amount FROM src s
 WHERE NOT EXISTS (SELECT 1 FROM wh_missing w WHERE w.order_id = s.order_id)
 ORDER BY order_id LIMIT 10""")
+ORACLE["unmatched_preview_asked"] = over("""
+SELECT order_id, order_status, total_amount FROM src s
+WHERE NOT EXISTS (SELECT 1 FROM wh_missing w WHERE w.order_id = s.order_id)
+ORDER BY order_id LIMIT 10""")
 ORACLE["unmatched_preview_repeated_keys"] = """
 SELECT n_chars, source, lang, doc_id FROM (
     SELECT *, row_number() OVER (PARTITION BY n_chars ORDER BY source, lang, doc_id) AS rn

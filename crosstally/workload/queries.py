@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crosstally.functions.columns import details_from_question
 from crosstally.functions.periods import ELECTED, date_formats
 from crosstally.functions.predicates import apply_filters
 from crosstally.functions.text import (
@@ -223,6 +224,14 @@ def unmatched_preview(spark, sf_dir):
     return matching.unmatched_preview(src(spark, sf_dir), wh_missing(spark, sf_dir), *KEY)
 
 
+@query
+def unmatched_preview_asked(spark, sf_dir):
+    """The details that a question names, column by column, in the order of the table."""
+    orders = src(spark, sf_dir)
+    asked = details_from_question("Which order status and Total-Amount are missing?", orders.columns, "order_id")
+    return matching.unmatched_preview(orders, wh_missing(spark, sf_dir), *KEY, asked)
+
+
 @query
 def unmatched_preview_repeated_keys(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("source", "lang", "n_chars", "doc_id")
