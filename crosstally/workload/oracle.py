@@ -734,7 +734,8 @@ EVIDENCE_ROWS = [
 def evidence(columns: str, kept: str = "TRUE") -> str:
     rows = "\nUNION ALL\n".join(
         f"""SELECT {i} AS seq, '{tool}' AS tool, '{a}' AS dataset_a, {b} AS dataset_b,
-    '{metric}' AS metric, CAST({value} AS DOUBLE) AS value, {_signature(tool, arguments)} AS signature
+    '{metric}' AS metric, CAST({value} AS DOUBLE) AS value, {_signature(tool, arguments)} AS signature,
+    '{arguments.get("value_column_a", "")}' AS about
 WHERE {condition}"""
         for i, (tool, a, b, metric, value, arguments, condition) in enumerate(EVIDENCE_ROWS)
     )
@@ -743,12 +744,29 @@ WHERE {condition}"""
         **row_flags("src"),
         lost_a=_one_sided("src", "wh_mixed"), lost_b=_one_sided("wh_mixed", "src"),
         rows_=rows,
-        numbered="""SELECT * EXCLUDE (seq), printf('E%03d', row_number() OVER (ORDER BY seq))
+        told="""SELECT * EXCLUDE (seq), printf('E%03d', row_number() OVER (ORDER BY seq))
         AS evidence_id FROM rows_""",
+        numbered="SELECT * EXCLUDE (about) FROM told",
     )
 
 
 ORACLE["baseline"] = evidence("*")
+_LOST = "(SELECT count(*) FROM lost_a), (SELECT count(*) FROM lost_b)"
+ORACLE["baseline_findings"] = evidence(f"""evidence_id, tool,
+    CASE tool
+    WHEN 'compare_aggregates' THEN 'row counts of source and warehouse: '
+        || (SELECT count(*) FROM src) || ' and ' || (SELECT count(*) FROM wh_mixed)
+    WHEN 'find_unmatched_records' THEN CAST(value AS BIGINT) || ' keys (' || if(dataset_a = 'source', {_LOST})
+        || ' rows) of ' || dataset_a || ' have no match in ' || dataset_b
+    WHEN 'find_duplicates' THEN CAST(value AS BIGINT) || ' rows of ' || dataset_a || ' are exact copies of each other'
+    WHEN 'compare_rows_by_key' THEN CAST(value AS BIGINT) || ' of ' || (SELECT count(*) FROM m)
+        || ' uniquely matched records differ'
+    WHEN 'compare_record_values' THEN about || ' differs on ' || CAST(value AS BIGINT) || ' of '
+        || (SELECT count(*) FROM m) || ' uniquely matched keys'
+    ELSE CAST(value AS BIGINT) || ' unmatched records of ' || dataset_a || ' are affected' END AS finding,
+    CASE WHEN tool = 'find_unmatched_records' THEN if(dataset_a = 'source', {_LOST}) END AS unmatched_rows,
+    CASE WHEN tool IN ('compare_rows_by_key', 'compare_record_values') THEN (SELECT count(*) FROM m) END AS matched_keys
+    """).replace("FROM numbered WHERE", "FROM told WHERE")
 ORACLE["baseline_with_inferred_key"] = evidence("*")
 ORACLE["evidence_dedup"] = evidence("*, 0 AS attempt")
 # The pair is one-to-many (the warehouse repeats keys), so row counts say nothing, and source

@@ -691,6 +691,16 @@ def baseline(spark, sf_dir):
     return _evidence_report(_baseline(spark, sf_dir))
 
 
+@query
+def baseline_findings(spark, sf_dir):
+    """What each check found, in words, with two of the figures that its details hold."""
+    figure = lambda name: F.get_json_object("details", f"$.{name}").cast("long")
+    return _baseline(spark, sf_dir).select(
+        "evidence_id", "tool", "finding",
+        figure("unmatched_count").alias("unmatched_rows"), figure("matched_unique_key_count").alias("matched_keys"),
+    )
+
+
 @query
 def baseline_with_inferred_key(spark, sf_dir):
     datasets = DatasetRegistry()
