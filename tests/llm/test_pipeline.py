@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_rows import targets_by_hand
 from test_sets import components_by_hand, lines_by_hand
 
@@ -86,3 +87,25 @@ def test_queries_equal_their_sql(spark, name):
     df = queries()[name](spark, SF)
     assert sorted(df.columns) == sorted(columns)
     assert sorted((tuple(r) for r in df.select(*columns).collect()), key=repr) == expected
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    odd = [{"doc_id": None, "text": None}, {"doc_id": 10**9, "text": ""}, {"doc_id": None, "text": "a few words"}]
+    rows = [r.asDict() for r in docs.collect()]
+    rows += [{**rows[0], **o} for o in odd] + [rows[1], rows[1]]
+    names = ["score", "row", "doc", "spans", "h", "c0"]
+    table = spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in rows], docs.schema).select(
+        "*", *[F.lit(n).alias(n) for n in names]
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, table, SF)
+        assert found.columns == table.columns, name
+        kept = found.collect()
+        assert all([r[n] for n in names] == names for r in kept), name
+        assert stage(spark, table.limit(0), SF).count() == 0, name
+        if name == "near_dedup":
+            assert [r["doc_id"] for r in kept].count(rows[1]["doc_id"]) <= 1
+            assert len([r for r in kept if not (r["text"] or "").split()]) == 2
+    assert corpus_pipeline.STAGES[-1][1](spark, table, SF).count() == len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, table.limit(0), SF).count() == 0
