@@ -28,7 +28,7 @@ def exact(column: Column, data_type: T.DataType, scale: int | None) -> Column:
     if isinstance(data_type, T.BooleanType):
         return column.cast("long")
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
-        column = F.nullif(column, F.lit(float("nan")).cast(data_type))
+        column = F.when(~F.isnan(column), column)
         return column if scale is None else column.cast(T.DecimalType(28, min(scale + 4, 18)))
     return column
 
@@ -46,7 +46,7 @@ def average(column: Column) -> Column:
 def share_percent(part: Column, whole: Column) -> Column:
     """0-100 scale; 0.0 when the whole is zero."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(
-        part.cast("double") / F.nullif(whole, F.lit(0)).cast("double") * F.lit(100.0)
+        part.cast("double") / whole.cast("double") * F.lit(100.0)
     )
 
 

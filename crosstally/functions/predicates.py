@@ -111,7 +111,8 @@ def one_is_null(a: Column, b: Column) -> Column:
 def values_differ(a: Column, b: Column, numeric: bool, tolerance: float = 0.0) -> Column:
     """Never null: numeric beyond tolerance, or unequal, or null (NaN) on exactly one side."""
     if numeric:
-        x, y = (F.nullif(side.cast("double"), F.lit(float("nan"))) for side in (a, b))
+        # Not nullif: it makes Spark project a name per use, and derive constraints for all combinations.
+        x, y = (F.when(~F.isnan(side.cast("double")), side.cast("double")) for side in (a, b))
         beyond = F.abs(x - y) > F.lit(float(tolerance))
         return F.coalesce(beyond, F.lit(False)) | one_is_null(x, y)
     return ~a.eqNullSafe(b)

@@ -40,7 +40,7 @@ from crosstally.operators.matching import PREVIEW_ROWS
 def aggregate_report(aggregation: str, a: Column, b: Column) -> dict[str, Column]:
     """The reported figures of an aggregate comparison, given both results."""
     signed = F.round(a.cast("double") - b.cast("double"), 6)
-    percentage = F.when(b.cast("double") != 0, signed / F.abs(F.nullif(b.cast("double"), F.lit(0.0))) * 100)
+    percentage = F.when(b.cast("double") != 0, signed / F.abs(b.cast("double")) * 100)
     return {
         "aggregation": F.lit(aggregation),
         "dataset_a_result": a,
@@ -146,9 +146,21 @@ def value_measures(
     """Aggregates over :func:`align_by_key` that compare column pair ``index``."""
     x, y = F.col(f"a{index}"), F.col(f"b{index}")
     differs = F.col("is_pair") & pair_differs(a, b, column_a, column_b, x, y, tolerance)
-    measures = [
+    return [
         count_where(F.col("is_pair")).alias(f"{prefix}matched_unique_key_count"),
         count_where(differs).alias(f"{prefix}value_mismatch_count"),
+        *difference_measures(a, b, column_a, column_b, index, tolerance, scale, prefix),
+    ]
+
+
+def difference_measures(
+    a: DataFrame, b: DataFrame, column_a: str, column_b: str, index: int, tolerance: float,
+    scale: int | None, prefix: str = "",
+) -> list[Column]:
+    """The part of :func:`value_measures` that :func:`row_measures` does not give."""
+    x, y = F.col(f"a{index}"), F.col(f"b{index}")
+    differs = F.col("is_pair") & pair_differs(a, b, column_a, column_b, x, y, tolerance)
+    measures = [
         count_where(F.col("is_pair") & one_is_null(x, y)).alias(f"{prefix}null_value_mismatch_count"),
         count_where(F.col("is_pair") & x.isNull() & y.isNull()).alias(f"{prefix}both_null_equal_count"),
     ]
@@ -173,10 +185,16 @@ def value_measures(
     ]
 
 
-def value_report(compared_as: str, prefix: str = "") -> dict[str, Column]:
-    """The reported figures, read from :func:`value_measures` output."""
-    matched = F.col(f"{prefix}matched_unique_key_count")
-    mismatches = F.col(f"{prefix}value_mismatch_count")
+def value_report(
+    compared_as: str, prefix: str = "", matched: Column | None = None, mismatches: Column | None = None
+) -> dict[str, Column]:
+    """The reported figures, read from :func:`value_measures` output.
+
+    ``matched`` and ``mismatches`` stand in for measures that are there under another name: one measure under
+    several names makes Spark derive constraints for every combination of them.
+    """
+    matched = F.col(f"{prefix}matched_unique_key_count") if matched is None else matched
+    mismatches = F.col(f"{prefix}value_mismatch_count") if mismatches is None else mismatches
     measured = (
         "null_value_mismatch_count", "both_null_equal_count", "signed_difference_a_minus_b",
         "absolute_difference_sum",

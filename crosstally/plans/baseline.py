@@ -24,9 +24,9 @@ from crosstally.functions.types import is_numeric, require_columns
 from crosstally.operators.compare import (
     aggregate_report,
     align_by_key,
+    difference_measures,
     repeated_measures,
     row_measures,
-    value_measures,
     value_report,
 )
 from crosstally.operators.duplicates import find_duplicates
@@ -83,7 +83,7 @@ def _key_checks(
         *match_measures("rows_a", "rows_b", "a_"),
         *match_measures("rows_b", "rows_a", "b_"),
         *row_measures(a, b, shared, 0.0, "rows_"),
-        *[m for i, c in numeric for m in value_measures(a, b, c, c, i, 0.0, scale, f"v{i}_")],
+        *[m for i, c in numeric for m in difference_measures(a, b, c, c, i, 0.0, scale, f"v{i}_")],
         *repeated_measures(),
     )
     pair_arguments = {"dataset_a": name_a, "dataset_b": name_b}
@@ -146,7 +146,8 @@ def _key_checks(
     earlier: Column = F.lit(0)
     for i, column in numeric:
         differs = F.col(f"rows_mismatch_{i}") > 0
-        figures = {**value_report("numeric", f"v{i}_"), **repeated}
+        same = F.col("rows_matched_unique_key_count"), F.col(f"rows_mismatch_{i}")
+        figures = {**value_report("numeric", f"v{i}_", *same), **repeated}
         add(
             7 + i, "compare_record_values",
             {**key_arguments, "value_column_a": column, "value_column_b": column, "tolerance": 0.0},
