@@ -6,18 +6,21 @@ must occur unchanged wherever the item does (pigeonhole), so all pieces are soug
 Aho-Corasick automaton, and each hit is settled by Myers' bit-parallel edit distance on the window
 that could hold the item.
 
-Defined results: null and empty documents match nothing; null items and items of fewer than
-``min_chars`` characters match nothing (so short a text shows no leak); items of equal text are each
-reported; rows of equal id are joined into one result per (doc_id, item_id), the best; empty
+Items of fewer than ``whole_below`` characters, in which an edit would leave little, match without any edit and
+only as whole words: no letter or digit stands right before or after.
+
+Defined results: null and empty documents match nothing; null items and items of white space match nothing;
+items of equal text are each reported; rows of equal id are joined into one result per (doc_id, item_id), the best; empty
 tables give no rows; other columns are ignored.
 
 Scale: documents are never shuffled. The items are a query set taken in blocks of at most about
 ``block_chars`` characters (a fixed bound on what is sent to the tasks), one pass over the
-documents per block.
+documents per block. A worker builds a block's automaton once, for all its tasks.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from crosstally.llm.frames import picked
 
 ERROR_RATE = 0.05
-MIN_CHARS = 24
+WHOLE_BELOW = 24
 BLOCK_CHARS = 4_000_000
 
 
@@ -77,23 +80,43 @@ def myers(masks: dict[str, int], m: int, text: str, most: int) -> tuple[int, int
     return best
 
 
+def _stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] neither begins nor ends inside a word."""
+    return not (
+        (start and text[start].isalnum() and text[start - 1].isalnum())
+        or (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+    )
+
+
+#: The automaton of the block that this worker matched last, under the name of the block.
+_BUILT: dict[str, Matcher] = {}
+
+
+def _built(name: str, *arguments) -> Matcher:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Matcher(*arguments)
+    return _BUILT[name]
+
+
 class Matcher:
     """Finds one block of items in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, whole_below: int):
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
         self.items = []
         by_text: dict[str, int] = {}
         for item_id, text in items:
             text = normalised(text)
-            if len(text) < max(1, min_chars):
+            if not text:
                 continue
             if text in by_text:
                 self.items[by_text[text]][0].append(item_id)
                 continue
             n = by_text[text] = len(self.items)
-            errors = int(len(text) * error_rate)
-            self.items.append(([item_id], text, errors, peq(text)))
+            whole = len(text) < whole_below
+            errors = 0 if whole else int(len(text) * error_rate)
+            self.items.append(([item_id], text, errors, peq(text), whole))
             for low, high in pieces(len(text), errors):
                 where[text[low:high]].append((n, low))
         self.automaton = ahocorasick.Automaton()
@@ -112,7 +135,12 @@ class Matcher:
                 begins[n].add(end + 1 - length - low)
         out = []
         for n, starts in begins.items():
-            ids, item, errors, masks = self.items[n]
+            ids, item, errors, masks, whole = self.items[n]
+            if whole:
+                # The one piece is the item itself.
+                starts = {s for s in starts if _stands_alone(text, s, s + len(item))}
+                out.extend((i, 0, s, s + len(item)) for s in sorted(starts)[:1] for i in ids)
+                continue
             best, open_to, low = None, None, None
             # Windows of hits that lie within the error budget of each other are settled in one.
             for start in [*sorted(starts), None]:
@@ -132,7 +160,7 @@ class Matcher:
 
 
 def find_leaks(
-    docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS,
+    docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, whole_below: int = WHOLE_BELOW,
     block_chars: int = BLOCK_CHARS, doc_id: str = "doc_id", text: str = "text",
     item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
@@ -149,17 +177,17 @@ def find_leaks(
     found = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
-        own = _matched(docs, sorted((tuple(r) for r in rows), key=repr), error_rate, min_chars, schema)
+        own = _matched(docs, sorted((tuple(r) for r in rows), key=repr), error_rate, whole_below, schema)
         found = own if found is None else found.unionByName(own)
     best = F.min(F.struct("errors", "start", "end")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
-def _matched(docs, rows, error_rate, min_chars, schema) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+def _matched(docs, rows, error_rate, whole_below, schema) -> DataFrame:
+    shared, name = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, error_rate, min_chars)
+        matcher = _built(name, shared.value, error_rate, whole_below)
         for batch in batches:
             at, hits = [], []
             for i, text in enumerate(batch.column("text")):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -341,7 +342,7 @@ def test_decontamination_equals_brute_force(spark):
     rng = random.Random(7)
     words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(60)]
     items = [(i, sentence(rng, rng.randint(8, 30), words)) for i in range(12)] + [(50, None), (51, ""), (52, "too short")]
-    items += [(53, items[0][1].upper())]
+    items += [(53, items[0][1].upper()), (54, words[0]), (55, " ".join(words[:2])), (56, words[3][:2].upper())]
     rows = [(i, sentence(rng, 30, words) + " " + edited(rng, rng.choice(items[:12])[1], rng.randint(0, 12)) + " " + sentence(rng, 20, words)) for i in range(60)]
     rows += [(100, None), (101, ""), (102, items[3][1].replace(" ", "\n  ").title())]
     found = decontamination.find_leaks(clashing(spark, rows), frame(spark, items, "item_id long, text string"), 0.1).collect()
@@ -350,7 +351,10 @@ def test_decontamination_equals_brute_force(spark):
         text = decontamination.normalised(text)
         for item_id, item in items:
             item = decontamination.normalised(item)
-            if len(item) >= decontamination.MIN_CHARS and (d := best_distance(item, text)) <= len(item) // 10:
+            if len(item) < decontamination.WHOLE_BELOW:
+                if item and re.search(rf"(?<![a-z0-9]){re.escape(item)}(?![a-z0-9])", text):
+                    expected[doc_id, item_id] = 0
+            elif (d := best_distance(item, text)) <= len(item) // 10:
                 expected[doc_id, item_id] = d
     assert {(r["doc_id"], r["item_id"]): r["errors"] for r in found} == expected and len(expected) > 20
     texts = dict(rows)
@@ -360,6 +364,15 @@ def test_decontamination_equals_brute_force(spark):
             assert span == decontamination.normalised(dict(items)[r["item_id"]])
 
 
+def test_short_items_match_as_whole_words(spark):
+    items = frame(spark, [(1, "an ox"), (2, "ox"), (3, "(ox)"), (4, " ")], "item_id long, text string")
+    rows = [(1, "An  OX runs"), (2, "oxen and a box"), (3, "by (ox) cart"), (4, "an oxen"), (5, "ox"), (6, "a\nnox")]
+    found = decontamination.find_leaks(frame(spark, rows), items).collect()
+    assert {(r["doc_id"], r["item_id"], r["start"], r["end"]) for r in found} == {
+        (1, 1, 0, 5), (1, 2, 3, 5), (3, 2, 4, 6), (3, 3, 3, 7), (5, 2, 0, 2)
+    }
+
+
 def test_decontamination_of_odd_tables(spark):
     items = frame(spark, [(1, "a" * 60), (2, "b" * 60)], "item_id long, text string")
     assert decontamination.find_leaks(frame(spark, []), items).count() == 0
