@@ -235,6 +235,21 @@ def test_line_dedup_of_odd_rows(spark):
         line_dedup.repeated_runs(frame(spark, rows), 3)
 
 
+def test_each_level_of_line_dedup_takes_few_stages(spark):
+    """Seven levels of copies; a level stores its pairs, numbers them and looks up the first suffix on the way."""
+    text = "\n".join(f"line {i}" for i in range(100))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "own\n" + text)], "doc_id long, text string")
+    spark.sparkContext.setJobGroup("lines", "stages of line dedup")
+    try:
+        found = line_dedup.dedup_lines(docs)[0].select("__n_removed").collect()
+        tracker = spark.sparkContext.statusTracker()
+        jobs = len(tracker.getJobIdsForGroup("lines"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r[0] for r in found) == [0, 100, 100]
+    assert jobs <= 120
+
+
 def test_passages_are_found_whatever_stands_before_them(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
