@@ -83,11 +83,14 @@ def align_by_key(
     key_b: str,
     pairs: Sequence[tuple[str, str]],
     keep_null_keys: bool = False,
+    digests: bool = False,
 ) -> DataFrame:
     """``key, rows_a, rows_b, is_pair, a0, b0, a1, b1, ...``: one row per key of either table.
 
     ``a<i>``/``b<i>`` hold the values of the i-th column pair and are meaningful where
-    ``rows_a``/``rows_b`` is 1; ``is_pair`` tells that the key is unique on both sides.
+    ``rows_a``/``rows_b`` is 1; ``is_pair`` tells that the key is unique on both sides. With
+    ``digests`` texts are 128-bit digests, for callers that only ask whether two are equal: numbers
+    are grouped by hash, where texts would have to be sorted.
     """
     key_type = require_key_pair(a, b, key_a, key_b)
     if not keep_null_keys:
@@ -101,11 +104,20 @@ def align_by_key(
         *[quoted(y).alias(f"b{i}") for i, (_, y) in enumerate(pairs)],
     )
     tagged = side_a.unionByName(side_b, allowMissingColumns=True)
-    values = [
-        _one(F.col(name), tagged.schema[name].dataType).alias(name)
-        for i in range(len(pairs))
-        for name in (f"a{i}", f"b{i}")
-    ]
+    texts = {
+        name for i, (x, y) in enumerate(pairs) for name in (f"a{i}", f"b{i}")
+        if digests and a.schema[x].dataType == b.schema[y].dataType == T.StringType()
+    }
+
+    def value(name: str) -> Column:
+        if name not in texts:
+            return _one(F.col(name), tagged.schema[name].dataType).alias(name)
+        one, two = (
+            F.max(F.when(F.col(name).isNotNull(), F.xxhash64(F.lit(n), F.col(name)))) for n in (1, 2)
+        )
+        return F.when(one.isNotNull(), F.struct(one.alias("one"), two.alias("two"))).alias(name)
+
+    values = [value(name) for i in range(len(pairs)) for name in (f"a{i}", f"b{i}")]
     aligned = tagged.groupBy("key").agg(
         F.sum("in_a").alias("rows_a"), F.sum("in_b").alias("rows_b"), *values
     )
@@ -323,7 +335,7 @@ def row_measures(
 def _row_comparison(a, b, key_a, key_b, columns, tolerance):
     require_tolerance(tolerance)
     chosen = row_columns(a, b, key_a, key_b, columns)
-    aligned = align_by_key(a, b, key_a, key_b, [(c, c) for c in chosen])
+    aligned = align_by_key(a, b, key_a, key_b, [(c, c) for c in chosen], digests=True)
     return chosen, aligned
 
 

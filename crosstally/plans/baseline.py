@@ -76,7 +76,7 @@ def _key_checks(
     """Count, unmatched, row and value evidence from one aggregate over the aligned tables."""
     shared = shared_columns(a, b, key)
     numeric = [(i, c) for i, c in enumerate(shared) if is_numeric(a, c) and is_numeric(b, c)]
-    aligned = align_by_key(a, b, key, key, [(c, c) for c in shared], keep_null_keys=True)
+    aligned = align_by_key(a, b, key, key, [(c, c) for c in shared], keep_null_keys=True, digests=True)
     measured = aligned.agg(
         sum_where(F.lit(True), F.col("rows_a")).alias("count_a"),
         sum_where(F.lit(True), F.col("rows_b")).alias("count_b"),

@@ -12,6 +12,8 @@ from crosstally.operators.profile import profile_columns, stack_profiles
 from crosstally.operators.relationships import relationships
 from crosstally.plans import evidence as ev
 from crosstally.plans import injection, scoring
+from crosstally.operators.compare import compare_rows
+from crosstally.operators.duplicates import find_duplicates
 from crosstally.plans.baseline import ImpactColumns, baseline_evidence, impact_columns, reconcile
 from crosstally.sources.registry import DatasetRegistry, load_datasets
 from crosstally.sources.writers import write_csv, write_parquet
@@ -369,3 +371,35 @@ def test_invariants(golden):
     assert abs(parts - ab["net_difference_a_minus_b"]) < 0.01
     total = sum(r["difference"] for r in segments.paired_segments(orders, warehouse, "order_priority", "total_amount", scale=2).collect())
     assert abs(total - ab["net_difference_a_minus_b"]) < 0.01
+
+
+def test_the_source_of_all_cases_is_checked_for_duplicates_once(spark, monkeypatch):
+    from crosstally.plans import baseline
+    from crosstally.workload import cases
+
+    orders = spark.createDataFrame(
+        [(i, i, None, "F", "2-HIGH", 1.0 + i) for i in range(3)],
+        "order_id long, customer_id long, order_date date, order_status string, order_priority string, total_amount double",
+    )
+    twice, made = orders.unionByName(orders.where("order_id = 1")), []
+    monkeypatch.setattr(baseline, "find_duplicates", lambda df: made.append(df) or find_duplicates(df))
+    shared = cases.SourceChecks()
+    found = [
+        cases.case_evidence(cases.Case("clean_control", orders, warehouse, orders), shared)
+        for warehouse in (orders, twice, orders)
+    ]
+    assert [made.count(df) for df in (orders, twice)] == [3, 1]
+    copies = [
+        sorted(map(tuple, df.where("tool = 'find_duplicates'").select("dataset_a", "value").collect())) for df in found
+    ]
+    none, some = ("source_orders", 0.0), ("warehouse_orders", 2.0)
+    assert copies == [[none, ("warehouse_orders", 0.0)], [none, some], [none, ("warehouse_orders", 0.0)]]
+
+
+def test_texts_are_compared_without_a_sort(spark, frame):
+    schema = "id long, t string, u string"
+    a = frame(schema, (1, "x", None), (2, "y", ""), (3, "z", "w"), (None, "n", "n"))
+    b = frame(schema, (1, "x", ""), (2, "Y", ""), (3, "z", "w"), (None, "m", "m"))
+    compared = compare_rows(a, b, "id", "id")
+    assert [tuple(r)[1:3] for r in compared.collect()] == [(3, 2)]
+    assert "SortAggregate" not in compared._jdf.queryExecution().executedPlan().toString()
