@@ -36,14 +36,18 @@ def _one_machine_folder() -> str:
     return tempfile.mkdtemp(prefix="crosstally-")
 
 
+def _master(spark: SparkSession) -> str:
+    """Where the session runs; its settings need not tell."""
+    return spark.conf.get("spark.master", None) or spark.sparkContext.master
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, as the session names it.
 
     Where it is unset a one-machine session gets a folder of its own; a cluster gets an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    one_machine = re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", ""))
-    if not folder and not one_machine:
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", _master(spark)):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (folder or _one_machine_folder()).rstrip("/")
 
