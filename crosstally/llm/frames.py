@@ -49,7 +49,7 @@ class Scratch:
 
 
 def released() -> None:
-    """Gives memory that a finished task freed back to the machine; workers live on between tasks."""
+    """Gives memory that a finished task or fit freed back to the machine; workers and the driver live on."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -11,8 +11,8 @@ rows with the same id are separate documents; an empty table gives no rows; othe
 ignored. Documents without words take part with ``taken`` 0.
 
 Scale: only word counts are kept from the texts. Runs over a source are split into buckets
-(``frames.running_sum``), so a source may hold any share of the rows. One row per source is
-ranked in a single task, and the number of slots is the one figure the driver sees.
+(``frames.running_sum``), so a source may hold any share of the rows. Slots and pieces meet in a shuffle at
+every size. One row per source is ranked in a single task, and the number of slots is the one figure the driver sees.
 """
 
 from __future__ import annotations
@@ -193,7 +193,8 @@ def mix(
         )
     )
     slots = schedule(targets, round(due), most)
-    mixed = slots.drop("slot_rank").join(pieces, ["source_no", "block_no"])
+    # A document makes many pieces, so the size of the stored table, which the optimizer goes by, tells little of theirs.
+    mixed = slots.drop("slot_rank").join(pieces.hint("merge"), ["source_no", "block_no"])
     return mixed.select("slot", "source_no", "block_no", "doc_id", "start", "first_word", "words"), placed.drop("block")
 
 

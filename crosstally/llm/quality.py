@@ -203,7 +203,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     Takes at most ``per_class`` texts of each label, the first by md5 of the id, see ``labelled_sample``.
     """
     labels = labels.where("label in (0, 1)")
-    texts, counts = labelled_sample(docs, labels, per_class)
+    model = _fitted(*labelled_sample(docs, labels, per_class))
+    # The sample has gone, but the driver lives on.
+    released()
+    return model
+
+
+def _fitted(texts: DataFrame | None, counts: dict[int, int]) -> Model:
     if texts is None:
         return fit([], np.empty(0), counts)
     rows = texts.mapInArrow(_featured, "label int, found binary").collect()

@@ -235,6 +235,15 @@ def test_classifier_on_odd_rows(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_the_driver_gives_the_memory_of_a_fit_back(spark, monkeypatch):
+    done, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a: (done.append("fit"), fit(*a))[1])
+    monkeypatch.setattr(quality, "released", lambda: done.append("released"))
+    docs = spark.createDataFrame([(1, "one text"), (2, "ANOTHER 2")], "doc_id long, text string")
+    quality.learn(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, label int"))
+    assert done == ["fit", "released"]
+
+
 def test_hinge_solution_meets_its_conditions():
     """At the optimum no row lies on the wrong side of the margin unless its dual is at the bound."""
     rng = np.random.default_rng(0)
@@ -364,6 +373,14 @@ def test_mix_of_odd_tables(spark):
     assert [(r["size"], r["target"]) for r in one] == [(1000, 1500.0)] and abs(one[0]["taken"] - 1500) <= 64
 
 
+def test_slots_meet_pieces_in_a_shuffle_at_every_size(spark):
+    # The stored table is small, its pieces are many: 4,096 in one document.
+    mixed, _ = mixing.mix(spark.createDataFrame([(1, "w " * 64 * 4096, "a")], SOURCED))
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[source_no#\d+, block_no#\d+L\]", plan)
+    assert not re.search(r"BroadcastHashJoin \[source_no#\d+, block_no#\d+L\]", plan)
+
+
 def test_points_are_the_golden_sequence(spark):
     slots = [0, 1, 2, 3, 65535, 65536, 10**6, 2**32 + 5, 2**40 + 1]
     rows = spark.createDataFrame([(s,) for s in slots], "s long").select("s", mixing.golden_point(F.col("s"))).collect()
