@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crosstally.llm import chat, fingerprints, mixing, quality, toxicity, urls
+from crosstally.llm.frames import WORD, word_count
 from crosstally.llm.queries import HOSTILE, URL_RULES
 from crosstally.llm.sampling import labelled_sample
 
@@ -373,6 +374,16 @@ def test_mix_of_odd_tables(spark):
     assert [(r["size"], r["target"]) for r in one] == [(1000, 1500.0)] and abs(one[0]["taken"] - 1500) <= 64
 
 
+def test_words_are_counted_without_an_array_of_them(spark):
+    white, rng = " \t\n\v\f\r", random.Random(5)
+    texts = [None, "", *white, white, "x", "x ", " x", " x\t x ", "\u00a0 \u2003 \x1c\x85", "$1 \\x {x} \U0001f600\U0001f600", "é" * 70000 + "\n", "x" + " " * 500000]
+    texts += ["".join(rng.choices(white + "xé\u3000\0", k=rng.randrange(40))) for _ in range(300)]
+    counted = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", word_count(F.col("text")).alias("n"))
+    assert {r["i"]: r["n"] for r in counted.collect()} == {i: len(re.findall(WORD, t or "")) for i, t in enumerate(texts)}
+    assert dict(counted.dtypes)["n"] == "bigint"
+    assert "regexp_extract_all" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_slots_meet_pieces_in_a_shuffle_at_every_size(spark):
     # The stored table is small, its pieces are many: 4,096 in one document.
     mixed, _ = mixing.mix(spark.createDataFrame([(1, "w " * 64 * 4096, "a")], SOURCED))
